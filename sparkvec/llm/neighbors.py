@@ -193,8 +193,8 @@ def by_key(keys: np.ndarray, rows: np.ndarray, name: str) -> pa.RecordBatch:
     """One row for each key with the bytes of its rows."""
     order = np.argsort(keys, kind="stable")
     k, r = keys[order], rows[order]
-    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-    ends = np.append(cut[1:], len(k))
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
+    ends = np.append(cut[1:], len(k))[: len(cut)]
     return pa.record_batch({name: pa.array(k[cut].astype(np.int64)), "rows": pa.array([r[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
 
