@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import distinctive, fusion, neighbors
+from sparkvec.llm import distinctive, fusion, language, mixing, neighbors, packing
 from sparkvec.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,13 @@ def queries() -> dict[str, Query]:
         "p5_top_terms": lambda s, d: distinctive.top_terms(table(s, d, "documents"), 10),
         "p6_found": lambda s, d: fusion.found(table(s, d, "search_requests"), table(s, d, "search_results")),
         "p6_ranking": lambda s, d: fusion.fused(table(s, d, "search_requests"), table(s, d, "search_results")),
+        "p7_packing": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "packing_sizes")),
+        "p7_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"), table(s, d, "packing_sizes")), table(s, d, "packing_sizes")),
+        "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_shares": lambda s, d: mixing.shares(mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: language.found(table(s, d, "documents")),
+        "p9_segments": lambda s, d: language.segments(table(s, d, "documents")),
+        "p9_documents": lambda s, d: language.languages(table(s, d, "documents")),
     }
 
 
