@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import distinctive, fusion, language, mixing, neighbors, packing
+from sparkvec.llm import clusters, distinctive, fusion, language, mixing, neighbors, packing
 from sparkvec.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: neighbors.tight_rings(table(s, d, "vectors")),
         "p1_neighbors": lambda s, d: neighbors.nearest_ids(table(s, d, "vectors"), 10),
+        "p4_found": lambda s, d: clusters.found(table(s, d, "vectors")),
+        "p4_regions": lambda s, d: clusters.regions(table(s, d, "vectors")),
         "p5_found": lambda s, d: distinctive.found(table(s, d, "documents")),
         "p5_top_terms": lambda s, d: distinctive.top_terms(table(s, d, "documents"), 10),
         "p6_found": lambda s, d: fusion.found(table(s, d, "search_requests"), table(s, d, "search_results")),
