@@ -93,7 +93,7 @@ def lives(fields: DataFrame) -> DataFrame:
     w = W.partitionBy("dataset_name", "name", "life").orderBy("ord")
     before = F.last("type", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     after = F.first("type", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    return f.withColumn("type", F.coalesce(before, after))
+    return cut(f.withColumn("type", F.coalesce(before, after)))
 
 
 def _turns(life: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +102,7 @@ def _turns(life: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     step = versions.select("dataset_name", "ord", "v", F.lag("v").over(W.partitionBy("dataset_name").orderBy("ord")).alias("prev_v"))
     new = spans.where("a > 1").join(step.withColumnRenamed("ord", "a"), ["dataset_name", "a"]).select("dataset_name", "v", "prev_v", "name")
     gone = spans.where("b < last_ord").withColumn("ord", F.col("b") + 1).join(step, ["dataset_name", "ord"]).select("dataset_name", "v", "prev_v", "name")
-    return new, gone
+    return cut(new), cut(gone)
 
 
 def _evidence(batch_rows: DataFrame, which: DataFrame, at: str) -> DataFrame:
@@ -124,7 +124,7 @@ def renames(new: DataFrame, gone: DataFrame, batch_rows: DataFrame, share: float
     good = equal.join(compared, pair).where(F.col("eq") >= share * F.col("n"))
     rank = lambda c, other: F.row_number().over(W.partitionBy("dataset_name", "v", c).orderBy(F.desc(F.col("eq") / F.col("n")), F.desc("eq"), other))
     best = good.withColumn("r1", rank("name", "old_name")).where("r1 = 1").withColumn("r2", rank("old_name", "name")).where("r2 = 1")
-    return best.select(*pair)
+    return cut(best.select(*pair))
 
 
 def changes(schema_versions: DataFrame, batch_rows: DataFrame, share: float = RENAME_SHARE) -> DataFrame:

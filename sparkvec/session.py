@@ -58,3 +58,23 @@ def tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str,
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that its functions can run in their Python workers."""
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="sparkvec-", suffix=".zip", delete=False) as f:
+        with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f.name)
