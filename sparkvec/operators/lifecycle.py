@@ -48,7 +48,8 @@ def evolved(base: DataFrame, extra: DataFrame, dropped: Iterable[str] = ()) -> D
 
 def live(df: DataFrame, created: Column, ttl_seconds: Column, now: Column) -> DataFrame:
     """Rows that aren't expired: a ttl of 0 or null never expires."""
-    age = now.cast("double") - created.cast("double")
+    seconds = lambda t: t.cast("timestamp").cast("double")
+    age = seconds(now) - seconds(created)
     return df.where(F.coalesce(ttl_seconds <= 0, F.lit(True)) | (age <= ttl_seconds))
 
 

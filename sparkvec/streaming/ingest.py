@@ -55,16 +55,21 @@ def deduplicated(stream: DataFrame, keys: list[str], ts: str, late: str = "1 hou
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def marked(rows: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with its watermark (whose column must have a time zone); a table as it is."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if rows.isStreaming else rows
+
+
 def window_counts(stream: DataFrame, ts: str, by: str, value: str, size: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
     """``(start, <by>, n, total)`` of tumbling or sliding windows; works on streams and tables alike."""
-    rows = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    rows = marked(stream, ts, late)
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     return rows.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
 def sessions(stream: DataFrame, ts: str, by: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """``(<by>, start, end, n)`` of sessions that a gap ends."""
-    rows = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    rows = marked(stream, ts, late)
     g = rows.groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return g.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
