@@ -21,19 +21,29 @@ def is_usable(vector: Column, dim: int = DIM) -> Column:
     return F.coalesce((F.size(vector) == dim) & finite, F.lit(False))
 
 
-def newest(df: DataFrame, dim: int = DIM) -> DataFrame:
-    """``(id, vector)``, one row for each usable id."""
-    rows = df.select("id", "ts", "vector").where(F.col("id").isNotNull() & (F.size("vector") == dim))
+def marks(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: true for every row whose id is among ``ids``, and by chance for a few others.
+
+    What is broadcast is a bitmap of ``BITS`` bits over the ids' hashes, whatever their number.
+    """
     place = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(place.alias("p"))
-    pages = repeated.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
+    pages = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
     at = F.bitmap_bit_position(place + 1)
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    set_ = F.expr("shiftright(byte, bit) & 1") == 1
-    marked = (
-        rows.withColumn("page", F.bitmap_bucket_number(place + 1)).join(F.broadcast(pages), "page", "left")
-        .withColumn("byte", byte).withColumn("bit", (at % 8).cast("int")).withColumn("several", F.coalesce(set_, F.lit(False)))
-    )
+    out = rows.withColumn("page", F.bitmap_bucket_number(place + 1)).join(F.broadcast(pages), "page", "left").withColumn("byte", byte).withColumn("bit", (at % 8).cast("int"))
+    return out.withColumn("marked", F.coalesce(F.expr("shiftright(byte, bit) & 1") == 1, F.lit(False))).drop("page", "bits", "byte", "bit")
+
+
+def having(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids (id)``; most others are left out before anything is shuffled."""
+    return marks(rows, ids).where("marked").drop("marked").join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def newest(df: DataFrame, dim: int = DIM) -> DataFrame:
+    """``(id, vector)``, one row for each usable id."""
+    rows = df.select("id", "ts", "vector").where(F.col("id").isNotNull() & (F.size("vector") == dim))
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = marks(rows, repeated).withColumnRenamed("marked", "several")
     once = marked.where("not several").where(is_usable(F.col("vector"), dim)).select("id", "vector")
     several = marked.where("several").where(is_usable(F.col("vector"), dim)).groupBy("id").agg(F.max(F.struct("ts", "vector"))["vector"].alias("vector"))
     return once.unionByName(several)
