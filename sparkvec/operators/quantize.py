@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.functions import vector as V
@@ -60,7 +60,7 @@ def bq_encode(v: Column, dim: int) -> Column:
     """Words of 64 bits; bit i of a word says whether its number is above 0."""
     words = []
     for w in range(-(-dim // WORD)):
-        part = F.transform(F.slice(V.doubles(v), w * WORD + 1, WORD), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("bigint"), 0) * F.lit(0) + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+        part = F.transform(F.slice(V.doubles(v), w * WORD + 1, WORD), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
         words.append(F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x)))
     return F.when(F.size(v) >= dim, F.array(*words))
 
@@ -136,6 +136,17 @@ def pq_decode(code: Column, book: np.ndarray) -> Column:
     return F.flatten(F.transform(code, lambda c, i: F.get(F.get(table, i), c)))
 
 
+def save_book(spark: SparkSession, book: np.ndarray, path: str) -> None:
+    rows = [(i, j, c) for i, part in enumerate(book.tolist()) for j, c in enumerate(part)]
+    spark.createDataFrame(rows, "part int, code int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_book(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.parquet(path).orderBy("part", "code").collect()  # parts x 256 centroids
+    m = max(r["part"] for r in rows) + 1
+    return np.array([r["centroid"] for r in rows]).reshape(m, len(rows) // m, -1)
+
+
 def adc_table(query: list[float], book: np.ndarray) -> np.ndarray:
     """(parts, k) squared distances of the query's parts to the centroids."""
     m, _, size = book.shape

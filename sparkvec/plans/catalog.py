@@ -47,6 +47,44 @@ WITH valid AS (
 SELECT dataset_name, rec_id, greatest(i, u) AS seq FROM last WHERE i IS NOT NULL AND (d IS NULL OR i > d)
 """
 
+P3_SQL = """
+WITH given AS (
+  SELECT dataset_name AS ds, schema_version AS v, arg_max(fields_json, coalesce(created_at, TIMESTAMP '1970-01-01')) AS f
+  FROM schema_versions WHERE fields_json IS NOT NULL AND dataset_name IS NOT NULL AND schema_version IS NOT NULL GROUP BY ALL
+), lists AS (SELECT ds, v, unnest(from_json(f, '[{"name":"VARCHAR","type":"VARCHAR"}]')) AS x FROM given WHERE left(f, 1) = '['
+), maps AS (SELECT ds, v, f, unnest(json_keys(f)) AS k FROM given WHERE left(f, 1) = '{'
+), texts AS (SELECT ds, v, unnest(string_split(f, ',')) AS p FROM given WHERE left(f, 1) NOT IN ('[', '{')
+), declared AS (
+  SELECT ds, v, x.name AS name, lower(x.type) AS t FROM lists
+  UNION ALL SELECT ds, v, k, lower(json_extract_string(f, '$."' || k || '"')) FROM maps
+  UNION ALL SELECT ds, v, trim(split_part(p, ':', 1)), lower(trim(split_part(p, ':', 2))) FROM texts
+), known AS (
+  SELECT ds, v, name, CASE WHEN t LIKE 'timestamp%' THEN 'timestamp' WHEN t IN ('int64', 'long', 'bigint') THEN 'int64' WHEN t IN ('int32', 'int') THEN 'int32'
+    WHEN t IN ('float64', 'double') THEN 'float64' WHEN t IN ('float32', 'float') THEN 'float32' WHEN t IN ('utf8', 'large_utf8', 'string') THEN 'string' WHEN t IN ('bool', 'boolean') THEN 'bool' ELSE t END AS t FROM declared
+), cells AS (
+  SELECT ds, v, k AS name, coalesce(TRY_CAST(json_extract_string(p, '$.id') AS DECIMAL(38, 10))::VARCHAR, json_extract_string(p, '$.id')) AS rec,
+    coalesce(TRY_CAST(json_extract_string(p, '$."' || k || '"') AS DECIMAL(38, 10))::VARCHAR, json_extract_string(p, '$."' || k || '"')) AS val
+  FROM (SELECT dataset_name AS ds, schema_version AS v, payload_json AS p, unnest(json_keys(payload_json)) AS k FROM batch_rows)
+), fields AS (SELECT * FROM known UNION ALL SELECT DISTINCT ds, v, name, NULL FROM cells WHERE (ds, v) NOT IN (SELECT (ds, v) FROM known)
+), versions AS (SELECT ds, v, row_number() OVER (PARTITION BY ds ORDER BY v) AS o FROM (SELECT DISTINCT ds, v FROM fields)
+), f AS (SELECT *, o - row_number() OVER (PARTITION BY ds, name ORDER BY o) AS life FROM fields JOIN versions USING (ds, v)
+), typed AS (
+  SELECT *, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY ds, name, life ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(t IGNORE NULLS) OVER (PARTITION BY ds, name, life ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ty FROM f
+), steps AS (SELECT b.ds, b.v, a.v AS pv FROM versions a JOIN versions b ON a.ds = b.ds AND b.o = a.o + 1
+), new AS (SELECT s.*, name FROM steps s JOIN fields USING (ds, v) WHERE NOT EXISTS (SELECT 1 FROM fields g WHERE g.ds = s.ds AND g.v = s.pv AND g.name = fields.name)
+), gone AS (SELECT s.*, name FROM steps s JOIN fields ON fields.ds = s.ds AND fields.v = s.pv WHERE NOT EXISTS (SELECT 1 FROM fields g WHERE g.ds = s.ds AND g.v = s.v AND g.name = fields.name)
+), pairs AS (
+  SELECT gone.ds, gone.v, gone.name AS old, new.name, x.rec, max((x.val = y.val)::INT) AS same
+  FROM gone JOIN new USING (ds, v) JOIN cells x ON x.ds = gone.ds AND x.v = gone.pv AND x.name = gone.name AND x.val IS NOT NULL
+  JOIN cells y ON y.ds = new.ds AND y.v = new.v AND y.name = new.name AND y.val IS NOT NULL AND y.rec = x.rec GROUP BY ALL
+), ren AS (SELECT ds, v, old, name FROM pairs GROUP BY ALL HAVING sum(same) >= 0.8 * count(*))
+SELECT ds AS dataset_name, v AS schema_version, name AS column_name, 'renamed' AS change_kind FROM ren
+UNION ALL SELECT ds, v, name, 'added' FROM new WHERE (ds, v, name) NOT IN (SELECT (ds, v, name) FROM ren)
+UNION ALL SELECT ds, v, name, 'removed' FROM gone WHERE (ds, v, name) NOT IN (SELECT (ds, v, old) FROM ren)
+UNION ALL SELECT ds, v, name, 'retyped' FROM (SELECT *, lag(ty) OVER (PARTITION BY ds, name, life ORDER BY o) AS before FROM typed) WHERE before <> ty
+"""
+
 
 def _drift(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(s, d, "schema_versions"), table(s, d, "batch_rows")
@@ -54,7 +92,7 @@ def _drift(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 query("p2_found", P2_SQL)(lambda s, d: changefeed.apply_changes(table(s, d, "wal_entries")))
 query("p2_records")(lambda s, d: changefeed.current_records(table(s, d, "wal_entries")))
-query("p3_found")(lambda s, d: schema_drift.changes(*_drift(s, d)).drop("detail"))
+query("p3_found", P3_SQL)(lambda s, d: schema_drift.changes(*_drift(s, d)).drop("detail"))
 query("p3_unified")(lambda s, d: schema_drift.unified(*_drift(s, d)))
 query("p3_alternatives")(lambda s, d: schema_drift.alternatives(*_drift(s, d), table(s, d, "column_metadata")))
 

@@ -99,7 +99,7 @@ def test_vector_functions(spark):
     assert r[0] == 21 and abs(r[1] - math.sqrt(21)) < 1e-12 and r[2] == 2 - 4 + 3 - 0 and tuple(r[3]) == (1, 4) and r[4] == [3, 4] and r[5] == 62
 
 
-def test_quantizers(spark, vectors, x):
+def test_quantizers(spark, vectors, x, tmp_path):
     lo, hi = quantize.sq8_bounds(vectors, "vector")
     assert np.allclose(lo, x.min(0)) and np.allclose(hi, x.max(0))
     q = vectors.withColumn("c", quantize.sq8_encode(F.col("vector"), lo, hi)).withColumn("d", quantize.sq8_decode(F.col("c"), lo, hi))
@@ -111,6 +111,8 @@ def test_quantizers(spark, vectors, x):
     b = spark.createDataFrame([([1.0, -1.0] * 50,)], "v array<double>").select(quantize.bq_encode(F.col("v"), 100).alias("c")).select("c", quantize.bq_decode(F.col("c"), 100).alias("d"), quantize.bq_similarity(F.col("c"), F.col("c"), 100).alias("s")).first()
     assert len(b["c"]) == 2 and b["d"] == [1.0, -1.0] * 50 and b["s"] == 1.0
     book = quantize.pq_train(vectors, "vector", 4, 32)
+    quantize.save_book(spark, book, f"{tmp_path}/book")
+    assert np.allclose(quantize.load_book(spark, f"{tmp_path}/book"), book)
     e = quantize.pq_encode(vectors, "vector", book).withColumn("back", quantize.pq_decode(F.col("code"), book))
     err = e.agg(F.avg(V.l2_squared(F.col("vector"), F.col("back")))).first()[0]
     assert err < 0.7 * (x**2).sum(1).mean()
