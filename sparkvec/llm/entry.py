@@ -13,6 +13,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PUNCTUATION_SQL = ".,!?;:()[]{}''\"><"
 
+P1_SQL = """
+WITH u AS (
+  SELECT id, arg_max(vector::DOUBLE[], struct_pack(t := coalesce(epoch_us(ts), -9000000000000000), v := vector)) AS v FROM vectors
+  WHERE id IS NOT NULL AND len(vector) = 48 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY id
+), n AS (
+  SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r
+  FROM u a JOIN u b ON a.id <> b.id QUALIFY r <= 6
+), t AS (SELECT id FROM n GROUP BY id HAVING count(*) = 6 AND max(d) FILTER (r = 5) <= 0.6 * max(d) FILTER (r = 6) AND max(d) FILTER (r = 6) > 0)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM n WHERE id IN (SELECT id FROM t) AND r <= 5
+"""
+
 P5_SQL = f"""
 WITH words AS (
   SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -76,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
