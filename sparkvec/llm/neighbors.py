@@ -16,8 +16,12 @@ shares a bucket in an earlier table isn't sent again.
 Scale. A bucket is one task's work and of bounded size; the work is rows x tables x cap. Vectors cross the network once per
 table, packed in binary rows (16-bit steps of each vector's own range, or 32-bit floats with ``exact=True``); results cross
 it as packed triples. Nothing about single rows reaches the driver: only the sample and the histogram, of at most
-``tables * 2**depth`` counts. A bucket above ``2 * cap`` rows at the greatest depth holds vectors whose codes are equal
-throughout; it is cut by a hash of the id into pieces of ``cap`` rows, each searched whole, so copies still find copies.
+``tables * 2**depth`` counts.
+
+Dense places. A bucket above ``2 * cap`` rows at the greatest depth lies on one side of the thresholds. Codes are learned anew on
+a sample of its own rows, each table taking its own substring of them, and split it by a histogram of all its rows; so again for
+what is still too large. What no code learned from it splits (copies, mostly) is compared in full: pieces of ``cap`` rows by a
+hash of the id, every piece with every other, which takes rows x rows of that bucket.
 
 Defined cases
     Unusable rows and repeated ids: see ``vectors``. Ties of the distance go to the smaller id. With fewer than k other ids
@@ -87,43 +91,103 @@ class Index:
 
     def fit(self, counts: list[np.ndarray]) -> None:
         """Cut each table's prefixes into buckets of at most ``cap`` rows."""
-        at = 0
+        sizes = []
         for c in counts:
-            label = np.zeros(len(c), np.int32)
-            done = np.zeros(len(c), bool)
-            sizes, n = [], 0
-            for level in range(self.depth + 1):
-                span = 1 << (self.depth - level)
-                total = c.reshape(-1, span).sum(1)
-                free = ~done[::span]
-                leaf = free & ((total <= self.cap) | (level == self.depth))
-                ids = np.flatnonzero(leaf)
-                number = np.zeros(len(total), np.int32)
-                number[ids] = n + np.arange(len(ids))
-                spread = np.repeat(leaf, span)
-                label[spread] = np.repeat(number, span)[spread]
-                done |= spread
-                sizes.append(total[ids])
-                n += len(ids)
-            size = np.concatenate(sizes)
-            pieces = np.where(size > 2 * self.cap, -(-size // self.cap), 1).astype(np.int64)
+            label, size = leaves(c, self.depth, self.cap)
             self.bucket.append(label)
-            self.pieces.append(pieces)
-            self.first.append(at)
-            at += int(pieces.sum())
-        self.start = [np.concatenate([[0], np.cumsum(p)[:-1]]) for p in self.pieces]
-
-    def parts(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+            self.first.append(sum(map(len, sizes)))
+            sizes.append(size)
+        self.size = np.concatenate(sizes)
+        self.table = np.repeat(np.arange(self.tables), [len(x) for x in sizes])
+        self.top = np.arange(len(self.size))
+        self.below: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
+        self.pieces: dict[int, int] = {}
+
+    def split(self, part: int, w: np.ndarray, t: np.ndarray, counts: np.ndarray) -> bool:
+        """Cut a bucket by codes of its own; False if they leave it nearly whole."""
+        label, size = leaves(counts, len(t), self.cap)
+        if size.max() > 0.9 * self.size[part]:
+            return False
+        self.below[part] = w, t, label, len(self.size)
+        self.size = np.concatenate([self.size, size])
+        self.table = np.concatenate([self.table, np.full(len(size), self.table[part])])
+        self.top = np.concatenate([self.top, np.full(len(size), self.top[part])])
+        return True
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables) numbers of the buckets, all tables counted through."""
         p = self.prefixes(x)
-        out = np.empty(p.shape, np.int64)
-        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        for j in range(self.tables):
-            b = self.bucket[j][p[:, j]]
-            piece = (mixed % self.pieces[j][b].astype(np.uint64)).astype(np.int64)
-            out[:, j] = self.first[j] + self.start[j][b] + piece
+        out = np.stack([self.first[j] + self.bucket[j][p[:, j]] for j in range(self.tables)], 1).astype(np.int64)
+        for part, (w, t, label, first) in self.below.items():  # a bucket comes before those it is split into
+            rows = np.flatnonzero(out[:, self.table[part]] == part)
+            if len(rows):
+                out[rows, self.table[part]] = first + label[side_numbers(x[rows], w, t)]
         return out
 
+    def number(self) -> None:
+        """Give the pieces numbers of their own, after those of the buckets."""
+        self.base: dict[int, int] = {}
+        for part, n in self.pieces.items():
+            self.base[part] = len(self.table)
+            self.table = np.concatenate([self.table, np.full(n, self.table[part])])
+            self.top = np.concatenate([self.top, np.full(n, self.top[part])])
+
+    def pieced(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """(rows, tables) numbers of the buckets or, where no code splits them, of their pieces."""
+        out = self.parts(x)
+        for part, first in self.base.items():
+            j = self.table[part]
+            rows = np.flatnonzero(out[:, j] == part)
+            out[rows, j] = first + self.piece(part, ids[rows])
+        return out
+
+    def piece(self, part: int, ids: np.ndarray, salt: int = 0) -> np.ndarray:
+        """The piece of each id of a bucket that no code splits."""
+        return (mixed(ids, salt) % np.uint64(self.pieces[part])).astype(np.int64)
+
+    def tasks(self, parts: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, keys): where rows of one table's buckets are searched; both pieces of every two meet under one key."""
+        whole = ~np.isin(parts, list(self.pieces))
+        yield np.flatnonzero(whole), parts[whole] << 32
+        for part in np.unique(parts[~whole]):
+            rows = np.flatnonzero(parts == part)
+            own, n = self.piece(part, ids[rows]), self.pieces[part]
+            for other in range(n):
+                at = own != other
+                yield rows[at], part << 32 | np.minimum(own[at], other) * n + np.maximum(own[at], other)
+
+
+def leaves(c: np.ndarray, depth: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of every prefix, rows of every bucket) from the rows of every prefix."""
+    label = np.zeros(len(c), np.int32)
+    done = np.zeros(len(c), bool)
+    sizes, n = [], 0
+    for level in range(depth + 1):
+        span = 1 << (depth - level)
+        total = c.reshape(-1, span).sum(1)
+        free = ~done[::span]
+        leaf = free & ((total <= cap) | (level == depth))
+        ids = np.flatnonzero(leaf)
+        number = np.zeros(len(total), np.int32)
+        number[ids] = n + np.arange(len(ids))
+        spread = np.repeat(leaf, span)
+        label[spread] = np.repeat(number, span)[spread]
+        done |= spread
+        sizes.append(total[ids])
+        n += len(ids)
+    return label, np.concatenate(sizes)
+
+
+def side_numbers(x: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return ((x @ w) > t) @ (1 << np.arange(len(t) - 1, -1, -1))
+
+
+def mixed(ids: np.ndarray, salt: int = 0) -> np.ndarray:
+    """31 bits of a hash of each id."""
+    h = (ids.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h >> np.uint64(33)
+
 
 def matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and vectors of a batch whose vectors all have ``dim`` numbers."""
@@ -164,9 +228,61 @@ def fit(vectors: DataFrame, dim: int, tables: int, bits: int, cap: int, sample:
             counts[j][p_[t_ == j]] = n_[t_ == j]
     index.fit(counts)
     index.n = n
+    refine(index, vectors, dim, sample)
+    index.number()
     return index
 
 
+def refine(index: Index, vectors: DataFrame, dim: int, sample: int) -> None:
+    """Split the buckets above ``2 * cap`` rows; those that can't be split get ``pieces``."""
+    tables, bits, cap = index.tables, index.bits, index.cap
+    while large := [int(p) for p in np.flatnonzero(index.size > 2 * cap) if p not in index.below and p not in index.pieces]:
+        share = {p: min(1.0, sample / int(index.size[p])) * (1 << 31) for p in large}
+        depths = {p: min(MAX_DEPTH, tables * bits, max(4, int(np.ceil(np.log2(index.size[p] / cap))) + 5)) for p in large}
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    ids, x = matrix(b, dim)
+                    parts, h = index.parts(x), mixed(ids, 1)
+                    for p in share:
+                        rows = np.flatnonzero((parts[:, index.table[p]] == p) & (h < share[p]))
+                        if len(rows):
+                            yield by_key(np.full(len(rows), p), x[rows], "part")
+
+        def codes(group: pa.Table) -> pa.Table:
+            part = group.column("part")[0].as_py()
+            x = np.frombuffer(b"".join(sorted(group.column("rows").to_pylist())), np.float32).reshape(-1, dim)
+            w, t = learn(x, tables, bits)
+            order = (index.table[part] * bits + np.arange(depths[part])) % w.shape[1]
+            w, t = w[:, order], t[order]
+            t = t + np.float32(1e-5) * np.abs(x @ w).max(0, initial=0)  # copies at the median stay on one side, however sums are rounded
+            return pa.table({"part": pa.array([part], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "t": pa.array([t.astype(np.float32).tobytes()], pa.binary())})
+
+        got = vectors.select("id", "vector").mapInArrow(some, "part long, rows binary").groupBy("part").applyInArrow(codes, "part long, w binary, t binary").toArrow().to_pylist()
+        learned = {g["part"]: (np.frombuffer(g["w"], np.float32).reshape(dim, -1), np.frombuffer(g["t"], np.float32)) for g in got}
+
+        def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = {p: np.zeros(1 << depths[p], np.int64) for p in learned}
+            for b in batches:
+                if b.num_rows:
+                    x = matrix(b, dim)[1]
+                    parts = index.parts(x)
+                    for p, (w, t) in learned.items():
+                        sums[p] += np.bincount(side_numbers(x[parts[:, index.table[p]] == p], w, t), minlength=1 << depths[p])
+            for p, c in sums.items():
+                at = np.flatnonzero(c)
+                yield pa.record_batch({"part": pa.array(np.full(len(at), p, np.int64)), "p": pa.array(at.astype(np.int64)), "n": pa.array(c[at])})
+
+        rows = vectors.select("id", "vector").mapInArrow(histogram, "part long, p long, n long").groupBy("part", "p").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+        part_, p_, n_ = (np.array(rows[c], np.int64) for c in ("part", "p", "n"))
+        for p in large:
+            counts = np.zeros(1 << depths[p], np.int64)
+            counts[p_[part_ == p]] = n_[part_ == p]
+            if p not in learned or not index.split(p, *learned[p], counts):
+                index.pieces[p] = -(-int(index.size[p]) // cap)
+
+
 # ---------------------------------------------------------------- packed rows
 def entry_type(dim: int, tables: int, exact: bool) -> np.dtype:
     return np.dtype([("id", "<i8"), ("parts", "<i4", (tables,)), *([("v", "<f4", (dim,))] if exact else [("scale", "<f4"), ("v", "<i2", (dim,))])])
@@ -257,13 +373,15 @@ def knn(vectors: DataFrame, k: int, dim: int = DIM, tables: int = TABLES, bits:
             rows = np.concatenate(held)
             held.clear()
             for j in range(tables):
-                yield by_key(rows["parts"][:, j], rows, "part")
+                for at, keys in index.tasks(rows["parts"][:, j].astype(np.int64), rows["id"]):
+                    if len(at):
+                        yield by_key(keys, rows[at], "part")
 
         n = 0
         for b in batches:
             if b.num_rows:
                 ids, x = matrix(b, dim)
-                held.append(pack(x, ids, index.parts(x, ids), kind))
+                held.append(pack(x, ids, index.parts(x), kind))
                 n += len(ids)
                 if n >= FLUSH:
                     yield from flush()
@@ -272,10 +390,10 @@ def knn(vectors: DataFrame, k: int, dim: int = DIM, tables: int = TABLES, bits:
             yield from flush()
 
     def search(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
+        part = group.column("part")[0].as_py() >> 32
         e = np.frombuffer(b"".join(group.column("rows").to_pylist()), kind)
         e = e[np.argsort(e["id"], kind="stable")]
-        j = next(i for i in range(tables - 1, -1, -1) if part >= index.first[i])
+        j = int(index.table[part])
         pos, dist = nearest(unpack(e), e["id"], k, exact)
         new = np.ones(pos.shape, bool)
         for i in range(j):
@@ -290,6 +408,9 @@ def knn(vectors: DataFrame, k: int, dim: int = DIM, tables: int = TABLES, bits:
 
     def merge(group: pa.Table) -> pa.Table:
         t = np.frombuffer(b"".join(group.column("rows").to_pylist()), TRIPLE)
+        if index.pieces:  # two of one piece meet once for every other piece
+            t = t[np.lexsort((t["d"], t["other"], t["id"]))]
+            t = t[np.concatenate([[True], (t["id"][1:] != t["id"][:-1]) | (t["other"][1:] != t["other"][:-1])])]
         t = t[np.lexsort((t["other"], t["d"], t["id"]))]
         start = np.flatnonzero(np.concatenate([[True], t["id"][1:] != t["id"][:-1]]))
         rank = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))

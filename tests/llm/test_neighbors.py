@@ -97,3 +97,37 @@ def test_codes_differ_little_for_near_vectors():
     near = (bits != bits[i[:, 0]]).sum(1).mean()
     far = (bits != bits[::-1]).sum(1).mean()
     assert w.shape == (48, 96) and near < far / 2
+
+
+def rings_in_a_dense_place(groups=400, away=1200, dim=48, seed=3):
+    """Tight rings of six in one place, on one side of the thresholds of all others, and the others."""
+    r = np.random.default_rng(seed)
+    x = np.repeat(r.normal(size=(groups, dim)), 6, 0) + r.normal(size=(groups * 6, dim)) * 0.05
+    return np.concatenate([x * 0.01 + 50, r.normal(size=(away, dim)) * 20 - 50]).astype(np.float32)
+
+
+def test_dense_place_is_split_by_its_own_codes(spark):
+    x = rings_in_a_dense_place(300, 3800)
+    df = table(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]).select("id", "vector").cache()
+    got = {r["id"]: set(r["neighbors"]) for r in N.knn(df, 5, cap=100, sample=1000).collect()}
+    assert len(got) == len(x)
+    assert np.mean([got[i] == set(range(i // 6 * 6, i // 6 * 6 + 6)) - {i} for i in range(1800)]) > 0.97
+    index = N.fit(df, 48, 4, 24, 100, 1000)
+    assert index.below and all(index.size[p] <= 200 for p in range(len(index.size)) if p not in index.below)
+
+
+def test_what_no_code_splits_is_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(N.Index, "split", lambda *a: False)
+    x = rings_in_a_dense_place(100, 300)
+    df = table(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]).select("id", "vector").cache()
+    got = {r["id"]: list(r["neighbors"]) for r in N.knn(df, 5, cap=50, sample=1000, exact=True).collect()}
+    want = brute(x.astype(np.float64), 5)[0]
+    assert N.fit(df, 48, 4, 24, 50, 1000).pieces
+    assert all(set(got[i]) == set(want[i].tolist()) for i in range(600))
+
+
+def test_copies_above_the_cap_find_each_other_and_no_one_twice(spark):
+    x = np.concatenate([np.ones((700, 48)), clustered(300)]).astype(np.float32)
+    df = table(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]).select("id", "vector").cache()
+    got = {r["id"]: r for r in N.knn(df, 6, cap=50, sample=1000).collect()}
+    assert all(len(set(got[i]["neighbors"])) == 6 and max(got[i]["neighbors"]) < 700 and i not in got[i]["neighbors"] for i in range(700))
