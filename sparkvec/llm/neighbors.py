@@ -138,9 +138,14 @@ class Index:
         for part, first in self.base.items():
             j = self.table[part]
             rows = np.flatnonzero(out[:, j] == part)
-            out[rows, j] = first + self.piece(part, ids[rows])
+            out[rows, j] = first + self.piece(part, ids[rows], int(j))
         return out
 
+    def cuts(self) -> np.ndarray:
+        """Into how many buckets or pieces the prefixes' bucket of each one is cut."""
+        last = ~np.isin(np.arange(len(self.top)), [*self.below, *self.pieces])
+        return np.bincount(self.top[last], minlength=len(self.top))[self.top]
+
     def piece(self, part: int, ids: np.ndarray, salt: int = 0) -> np.ndarray:
         """The piece of each id of a bucket that no code splits."""
         return (mixed(ids, salt) % np.uint64(self.pieces[part])).astype(np.int64)
