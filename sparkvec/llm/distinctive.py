@@ -19,11 +19,13 @@ Defined cases
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.llm.vectors import marks
 from sparkvec.session import cut
 
+#: fixed value: what is cut off a term's ends
 PUNCTUATION = ".,!?;:()[]{}'\"><"
 HOT_TERMS = 10_000
 #: Unicode white space, as a class of Java's and RE2's regular expressions
@@ -53,8 +55,15 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return flat.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def residual(count: Column, record: Column, term: Column, n: Column) -> Column:
+    """The adjusted standardised residual of a count, given the margins of its record and its term."""
+    expected = record * term / n
+    spread = expected * (1 - record / n) * (1 - term / n)
+    return F.when(spread > 0, (count - expected) / F.sqrt(spread)).otherwise(F.lit(0.0))
+
+
 def residuals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_terms: int = HOT_TERMS) -> DataFrame:
-    """``(doc_id, term, tf, doc_len, doc_freq, coll_freq, score)`` for every term of every record."""
+    """``(doc_id, term, tf, doc_len, doc_freq, coll_freq, n, score)`` for every term of every record."""
     tf = cut(term_counts(df, id_col, text_col))  # texts are split once, not for each use below
     by_term = tf.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("coll_freq"))
     term = by_term.withColumn("n", tf.agg(F.sum("tf").alias("n")).scalar())
@@ -62,21 +71,27 @@ def residuals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     hot, cold = term.where(is_hot), term.where(~is_hot)
     names = F.broadcast(hot.select("term"))
     joined = tf.join(F.broadcast(hot), "term").unionByName(tf.join(names, "term", "left_anti").join(cold, "term"))
-    expected = F.col("doc_len") * F.col("coll_freq") / F.col("n")
-    spread = expected * (1 - F.col("doc_len") / F.col("n")) * (1 - F.col("coll_freq") / F.col("n"))
-    score = F.when(spread > 0, (F.col("tf") - expected) / F.sqrt(spread)).otherwise(F.lit(0.0))
-    return joined.select("doc_id", "term", "tf", "doc_len", "doc_freq", "coll_freq", score.alias("score"))
+    score = residual(F.col("tf"), F.col("doc_len"), F.col("coll_freq"), F.col("n"))
+    return joined.select("doc_id", "term", "tf", "doc_len", "doc_freq", "coll_freq", "n", score.alias("score"))
 
 
 def top_terms(df: DataFrame, k: int = 10, **columns: str) -> DataFrame:
-    """Every record's ``k`` most distinctive terms with their rank; ties go to the smaller term."""
-    best = F.struct((-F.col("score")).alias("s"), "term", "tf", "score")
-    ranked = residuals(df, **columns).groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(best)), 1, k).alias("top"))
-    out = ranked.select("doc_id", F.posexplode("top").alias("p", "x"))
-    return out.select("doc_id", (F.col("p") + 1).cast("bigint").alias("rank"), "x.term", "x.tf", "x.score")
+    """Every record's ``k`` most distinctive terms with their rank; ties go to the smaller term.
+
+    The window's limit is taken before the shuffle too, so a record sends at most ``k`` terms from each task.
+    """
+    best = W.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "term")
+    ranked = residuals(df, **columns).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("doc_id", F.col("rank").cast("bigint").alias("rank"), "term", "tf", "score")
 
 
 def found(df: DataFrame) -> DataFrame:
-    """The strikingly frequent terms that few records share (p5_found)."""
+    """The strikingly frequent terms that few records share (p5_found).
+
+    Candidates are drawn by the score: a case's count is at least ``max(3, doc_len / 40)``, and for given margins the residual
+    grows with the count, so a case's score is at least the residual of that count. Every step of that sum (minus, divided by
+    a positive number) keeps the order in floating point as well, so no case is lost. What passes is checked by its counts.
+    """
     r = residuals(df)
-    return r.where("tf >= 3 and tf * 40 >= doc_len and doc_freq between 2 and 6").select("doc_id", "term")
+    least = residual(F.greatest(F.lit(3.0), F.col("doc_len") / 40), F.col("doc_len"), F.col("coll_freq"), F.col("n"))
+    return r.where(F.col("score") >= least).where("tf >= 3 and tf * 40 >= doc_len and doc_freq between 2 and 6").select("doc_id", "term")

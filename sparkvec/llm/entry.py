@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkvec.llm import clusters, distinctive, fusion, language, mixing, neighbors, packing
+from sparkvec.llm.distinctive import PUNCTUATION
 from sparkvec.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PUNCTUATION_SQL = ".,!?;:()[]{}''\"><"
+PUNCTUATION_SQL = PUNCTUATION.replace("'", "''")
 
 P1_SQL = """
 WITH u AS (
@@ -24,25 +26,33 @@ WITH u AS (
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM n WHERE id IN (SELECT id FROM t) AND r <= 5
 """
 
-P5_SQL = f"""
+COUNTS_SQL = f"""
 WITH words AS (
   SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), pieces AS (
   SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: trim(x, '{PUNCTUATION_SQL}')), lambda x: x <> '')) AS term FROM words
 ), tf AS (SELECT doc_id, term, count(*) AS tf FROM pieces GROUP BY ALL
-), len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY ALL
-), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)
+), len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL
+), df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS c FROM tf GROUP BY ALL)
+"""
+P5_SQL = COUNTS_SQL + """
 SELECT doc_id, term FROM tf JOIN len USING (doc_id) JOIN df USING (term)
 WHERE tf >= 3 AND tf * 40 >= n AND df BETWEEN 2 AND 6
 """
+P5_TOP_SQL = COUNTS_SQL + """, scored AS (
+  SELECT doc_id, term, tf, n::DOUBLE * c / all_ AS e, n::DOUBLE * c / all_ * (1 - n::DOUBLE / all_) * (1 - c::DOUBLE / all_) AS s
+  FROM tf JOIN len USING (doc_id) JOIN df USING (term), (SELECT sum(tf)::DOUBLE AS all_ FROM tf)
+), best AS (SELECT doc_id, term, tf, CASE WHEN s > 0 THEN (tf - e) / sqrt(s) ELSE 0 END AS score FROM scored)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) AS rank, term, tf, round(score, 6) AS score FROM best QUALIFY rank <= 10
+"""
 
-P6_SQL = """
+P6_RANKS_SQL = """
 WITH req AS (
-  SELECT DISTINCT query_id, k,
-    coalesce(alpha, 0.5) <> 0 AS ud,
-    coalesce(regexp_replace(text_query, '\\s', '', 'g'), '') <> '' AND coalesce(alpha, 0.5) <> 1 AS ut,
-    coalesce(graph_alpha > 0, false) AS ug
-  FROM search_requests WHERE query_id IS NOT NULL
+  SELECT query_id, r.k::BIGINT AS k, coalesce(r.alpha, 0.5) <> 0 AS ud,
+    coalesce(regexp_replace(r.q, '\\s', '', 'g'), '') <> '' AND coalesce(r.alpha, 0.5) <> 1 AS ut,
+    coalesce(r.g > 0, false) AS ug
+  FROM (SELECT query_id, max(struct_pack(t := coalesce(requested_at, TIMESTAMP '0001-01-01'), alpha := alpha, g := graph_alpha, k := k, q := text_query)) AS r
+    FROM search_requests WHERE query_id IS NOT NULL GROUP BY ALL)
 ), it AS (
   SELECT query_id, id,
     min(CASE WHEN NOT isnan(distance) THEN distance::DOUBLE END) AS d,
@@ -51,19 +61,24 @@ WITH req AS (
   FROM search_results WHERE query_id IS NOT NULL AND id IS NOT NULL GROUP BY ALL
 ), r AS (
   SELECT query_id, id, k, count(*) OVER (PARTITION BY query_id) AS n, ud::INT + ut::INT + ug::INT AS used,
-    greatest(
-      CASE WHEN ud THEN rank() OVER (PARTITION BY query_id ORDER BY d NULLS LAST) END,
-      CASE WHEN ut THEN rank() OVER (PARTITION BY query_id ORDER BY t DESC NULLS LAST) END,
-      CASE WHEN ug THEN rank() OVER (PARTITION BY query_id ORDER BY g DESC NULLS LAST) END) AS worst
+    CASE WHEN ud THEN rank() OVER (PARTITION BY query_id ORDER BY d NULLS LAST) END AS rd,
+    CASE WHEN ut THEN rank() OVER (PARTITION BY query_id ORDER BY t DESC NULLS LAST) END AS rt,
+    CASE WHEN ug THEN rank() OVER (PARTITION BY query_id ORDER BY g DESC NULLS LAST) END AS rg
   FROM it JOIN req USING (query_id)
+)
+"""
+P6_SQL = P6_RANKS_SQL + """, w AS (SELECT *, greatest(rd, rt, rg) AS worst FROM r
 ), q AS (
   SELECT *, worst * 5 <= n AS top,
     sum((worst * 5 <= n)::INT) OVER (PARTITION BY query_id) AS tops,
     sum((worst * 5 > n AND worst * 3 <= n)::INT) OVER (PARTITION BY query_id) AS between_
-  FROM r WHERE used >= 2
+  FROM w WHERE used >= 2
 )
 SELECT query_id, id FROM q WHERE top AND tops = k AND between_ = 0
 """
+P6_FUSED_SQL = P6_RANKS_SQL + """, t AS (SELECT *, coalesce(1.0::DOUBLE / (60 + rd), 0) + coalesce(1.0::DOUBLE / (60 + rt), 0) + coalesce(1.0::DOUBLE / (60 + rg), 0) AS total FROM r)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS fused_rank, round(total, 9) AS total, rd AS rank_distance, rt AS rank_text_score, rg AS rank_graph_score FROM t
+"""
 
 
 def queries() -> dict[str, Query]:
@@ -73,9 +88,9 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: clusters.found(table(s, d, "vectors")),
         "p4_regions": lambda s, d: clusters.regions(table(s, d, "vectors")),
         "p5_found": lambda s, d: distinctive.found(table(s, d, "documents")),
-        "p5_top_terms": lambda s, d: distinctive.top_terms(table(s, d, "documents"), 10),
+        "p5_top_terms": lambda s, d: distinctive.top_terms(table(s, d, "documents"), 10).withColumn("score", F.round("score", 6)),
         "p6_found": lambda s, d: fusion.found(table(s, d, "search_requests"), table(s, d, "search_results")),
-        "p6_ranking": lambda s, d: fusion.fused(table(s, d, "search_requests"), table(s, d, "search_results")),
+        "p6_ranking": lambda s, d: fusion.fused(table(s, d, "search_requests"), table(s, d, "search_results")).withColumn("total", F.round("total", 9)),
         "p7_packing": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "packing_sizes")),
         "p7_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"), table(s, d, "packing_sizes")), table(s, d, "packing_sizes")),
         "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
@@ -87,4 +102,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL}

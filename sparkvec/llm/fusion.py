@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec.session import cut
+
 CONSTANT = 60.0
 HOT_ROWS = 200_000
 RANGES = 256
@@ -76,28 +78,34 @@ def _rank_large(df: DataFrame) -> DataFrame:
     return out
 
 
-def ranked(requests: DataFrame, results: DataFrame, constant: float = CONSTANT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every item with ``n`` (items of its query), ``k``, its rank on each used score, and its ``total``."""
+def _both(requests: DataFrame, results: DataFrame, constant: float, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Ranked items of the queries up to ``hot_rows`` items, and of those above if there are any."""
     it = items(results).join(requests_in_use(requests), "query_id")
-    sizes = it.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(it.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")))  # written once; asked for again below
     it = it.join(sizes, "query_id")
+
+    def with_total(ranks: DataFrame) -> DataFrame:
+        part = lambda s: F.coalesce(1.0 / (F.lit(constant) + F.col(f"rank_{s}")), F.lit(0.0))
+        return ranks.withColumn("total", sum((part(s) for s in SCORES[1:]), part(SCORES[0])))
+
     # above hot_rows items there are at most (all items / hot_rows) queries; only they take the second way
-    small, large = it.where(F.col("n") <= hot_rows), it.where(F.col("n") > hot_rows)
-    ranks = _rank_small(small)
-    if not sizes.where(F.col("n") > hot_rows).isEmpty():
-        ranks = ranks.unionByName(_rank_large(large))
-    total = sum((F.coalesce(1.0 / (F.lit(constant) + F.col(f"rank_{s}")), F.lit(0.0)) for s in SCORES[1:]), F.coalesce(1.0 / (F.lit(constant) + F.col("rank_distance")), F.lit(0.0)))
-    return ranks.withColumn("total", total)
+    hot = not sizes.where(F.col("n") > hot_rows).isEmpty()
+    return with_total(_rank_small(it.where(F.col("n") <= hot_rows))), with_total(_rank_large(it.where(F.col("n") > hot_rows))) if hot else None
+
+
+def ranked(requests: DataFrame, results: DataFrame, constant: float = CONSTANT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every item with ``n`` (items of its query), ``k``, its rank on each used score, and its ``total``."""
+    small, big = _both(requests, results, constant, hot_rows)
+    return small if big is None else small.unionByName(big)
 
 
 def fused(requests: DataFrame, results: DataFrame, constant: float = CONSTANT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(query_id, id, fused_rank, total, rank_distance, rank_text_score, rank_graph_score)``: the one ranking of each query."""
-    r = ranked(requests, results, constant, hot_rows)
-    small = r.where(F.col("n") <= hot_rows).withColumn("fused_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("total"), "id")).cast("bigint"))
+    small, big = _both(requests, results, constant, hot_rows)
+    small = small.withColumn("fused_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("total"), "id")).cast("bigint"))
     cols = ["query_id", "id", "fused_rank", "total", *[f"rank_{s}" for s in SCORES]]
     out = small.select(*cols)
-    big = r.where(F.col("n") > hot_rows)
-    if not big.isEmpty():
+    if big is not None:
         # position = items in better ranges of (total, id) + position within the range
         cuts = big.groupBy("query_id").agg(F.percentile_approx((-F.col("total")), [i / RANGES for i in range(1, RANGES)], 10_000).alias("cuts"))
         placed = big.join(cuts, "query_id").withColumn("part", F.size(F.filter("cuts", lambda c: c < -F.col("total"))))
@@ -109,13 +117,18 @@ def fused(requests: DataFrame, results: DataFrame, constant: float = CONSTANT, h
 
 
 def found(requests: DataFrame, results: DataFrame, constant: float = CONSTANT) -> DataFrame:
-    """Items within the best fifth on every used score, where exactly ``k`` stand apart from all others (p6_found)."""
+    """Items within the best fifth on every used score, where exactly ``k`` stand apart from all others (p6_found).
+
+    Candidates are drawn by the fused total: an item that ranks within the best third of ``n`` on each of ``m`` scores has a
+    total of at least ``m / (constant + n / 3)``. Those are all items that can be a case, or that stand between a query's cases
+    and the others; the ranks of each are then checked.
+    """
     r = ranked(requests, results, constant)
-    used = [F.col(f"use_{s}").cast("int") for s in SCORES]
-    r = r.where(used[0] + used[1] + used[2] >= 2)
-    ranks = [F.col(f"rank_{s}") for s in SCORES]
-    worst = F.greatest(*ranks)  # ignores the scores not in use
-    r = r.withColumn("top", worst * 5 <= F.col("n")).withColumn("apart", worst * 3 > F.col("n"))
+    used = sum((F.col(f"use_{s}").cast("int") for s in SCORES[1:]), F.col("use_distance").cast("int"))
+    least = used / (F.lit(constant) + F.col("n") / 3.0)
+    worst = F.greatest(*[F.col(f"rank_{s}") for s in SCORES])  # ignores the scores not in use
+    r = r.where((used >= 2) & (F.col("total") >= least * (1 - 1e-9)))  # the margin is for rounding
+    r = cut(r.select("query_id", "id", "k", (worst * 5 <= F.col("n")).alias("top"), (worst * 3 > F.col("n")).alias("apart")))
     ok = r.groupBy("query_id").agg(F.sum(F.col("top").cast("bigint")).alias("tops"), F.sum((~F.col("top") & ~F.col("apart")).cast("bigint")).alias("between"), F.first("k").alias("want"))
     ok = ok.where("tops = want and between = 0 and tops > 0").select("query_id")
     return r.where("top").join(ok, "query_id", "left_semi").select("query_id", "id")

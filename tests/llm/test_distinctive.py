@@ -54,3 +54,18 @@ def test_top_terms_and_empty(spark):
     assert D.residuals(docs(spark, [])).count() == 0
     one = D.residuals(docs(spark, [(1, "word word")])).collect()
     assert [(r["tf"], r["score"]) for r in one] == [(2, 0.0)]
+
+
+def test_found_is_drawn_by_the_score(spark):
+    plan = D.found(docs(spark, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" in plan.upper()
+    alone = [(i, "a a a") for i in range(3)]  # one term is all there is: no variance, score 0
+    assert {tuple(r) for r in D.found(docs(spark, alone)).collect()} == {(i, "a") for i in range(3)}
+
+
+def test_top_terms_of_a_hot_record(spark):
+    rows = [(1, " ".join(f"t{i}" for i in range(5000)) + " t7 t7"), (2, "t7 t8")]
+    got = sorted((r["rank"], r["term"]) for r in D.top_terms(docs(spark, rows), 3).where("doc_id = 1").collect())
+    scores = {k[1]: v[4] for k, v in brute(rows).items() if k[0] == 1}
+    want = sorted(scores, key=lambda t: (-round(scores[t], 9), t))[:3]
+    assert [t for _, t in got] == want

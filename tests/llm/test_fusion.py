@@ -87,3 +87,10 @@ def test_empty(spark):
     # a query that uses no score
     got = X.fused(*tables(spark, [(1, None, 0.0, None, 1)], [(1, 5, 0.1, 1.0, 1.0), (1, 3, 0.2, 1.0, 1.0)])).orderBy("fused_rank").collect()
     assert [r["id"] for r in got] == [3, 5]
+
+
+def test_found_is_drawn_by_the_total(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "cut", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    X.found(*tables(spark, *data()))
+    assert "(60.0 + cast(rank_distance" in seen[-1]  # the reciprocal sum decides which rows are looked at
