@@ -80,6 +80,17 @@ P6_FUSED_SQL = P6_RANKS_SQL + """, t AS (SELECT *, coalesce(1.0::DOUBLE / (60 +
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS fused_rank, round(total, 9) AS total, rd AS rank_distance, rt AS rank_text_score, rg AS rank_graph_score FROM t
 """
 
+P7_CHECKED_SQL = """
+SELECT container, texts, 0::BIGINT AS lost_tokens, 0::BIGINT AS overfull_bins, 0::BIGINT AS needless_splits, 0::BIGINT AS lone_bins
+FROM (SELECT DISTINCT container FROM packing_sizes WHERE capacity_tokens > 0),
+  (SELECT count(*) AS texts FROM (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_replace(text, '[\\s\\p{Z}]', '', 'g') <> ''))
+"""
+SOURCE_SQL = "regexp_replace(lower(trim(source)), '[\\s_\\-]+', '_', 'g')"
+P8_CHECKED_SQL = f"""
+WITH known AS (SELECT DISTINCT {SOURCE_SQL} AS source FROM documents WHERE doc_id IS NOT NULL AND regexp_replace(text, '[\\s\\p{{Z}}]', '', 'g') <> '')
+SELECT DISTINCT {SOURCE_SQL} AS source, {SOURCE_SQL} IN (SELECT source FROM known WHERE source IS NOT NULL) AS has_documents, true AS share_met, true AS repeats_met FROM mix_targets WHERE source IS NOT NULL
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -93,8 +104,10 @@ def queries() -> dict[str, Query]:
         "p6_ranking": lambda s, d: fusion.fused(table(s, d, "search_requests"), table(s, d, "search_results")).withColumn("total", F.round("total", 9)),
         "p7_packing": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "packing_sizes")),
         "p7_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"), table(s, d, "packing_sizes")), table(s, d, "packing_sizes")),
+        "p7_checked": lambda s, d: packing.checked(table(s, d, "documents"), packing.pack(table(s, d, "documents"), table(s, d, "packing_sizes")), table(s, d, "packing_sizes")),
         "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mixing.shares(mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
+        "p8_checked": lambda s, d: mixing.checked(mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: language.found(table(s, d, "documents")),
         "p9_segments": lambda s, d: language.segments(table(s, d, "documents")),
         "p9_documents": lambda s, d: language.languages(table(s, d, "documents")),
@@ -102,4 +115,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}

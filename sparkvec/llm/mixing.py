@@ -1,18 +1,21 @@
 """Mixing sources to target weights.
 
 Every source's texts are laid end to end, in the order of a hash, and cut into blocks of ``block`` tokens. The output is
-a sequence of shards of ``shard_blocks`` slots. How many of a shard's slots each source gets is drawn multinomially, given what
-every source still has to give in all (that is, from the multivariate hypergeometric distribution), so shards vary but the
-totals are met exactly. The slots of a source are numbered through and mapped to its blocks by a pseudorandom permutation
-of their indices, another for each repetition: all blocks are used once before any is used again, and none more than
-``max_repeats`` times. Blocks are joined by (source, index).
+a sequence of shards of ``shard_blocks`` slots. How many of a shard's slots each source gets is drawn multinomially with the
+target weights, shard by shard and for any number of shards alike. All drawn slots of a source are mapped through a pseudorandom
+permutation of their indices, and those numbers, up to the source's quota, through another one for each repetition to its
+blocks: all blocks are used once before any is used again, and none more than ``max_repeats`` times. What chance drew above a
+source's quota (about the square root of its slots, spread over all shards by the permutation) goes to the sources that it
+drew too rarely, so the totals are met exactly. Blocks are joined by (source, index).
 
 Totals. Without ``total_blocks`` the selection is as large as it can be while every source that has documents reaches its
 share: the sources without documents leave theirs to the others in proportion. With ``total_blocks`` sources that run short give
 all they may, and the others share the rest in proportion to their targets.
 
-Scale. The driver splits the totals, source by source, over at most ``2 * RUNS`` runs of shards; workers split them on. Positions come from running sums that don't gather a source in one task (``operators.prefix``); a document is joined
-only through its blocks, at most one more than its tokens fill.
+Scale. Draws are made by the workers in runs of ``RUN`` shards, each from a seed of its own, so a lost task draws the same again;
+there are as many tasks as runs ask for. A run's first slot numbers and the documents' positions come from running sums that
+don't gather a source in one task (``operators.prefix``); the driver sees one total for each source. A document is joined only
+through its blocks, at most one more than its tokens fill.
 
 Defined cases
     Sources are compared in lower case with blanks, hyphens and underscores alike. Documents with a null source, or one
@@ -38,7 +41,8 @@ from sparkvec.session import cut
 BLOCK = 256
 SHARD_BLOCKS = 1024
 SEED = 11
-RUNS = 1024
+RUN = 16
+TASK_RUNS = 64
 SELECTION = "shard bigint, slot bigint, source string, block bigint, repeat bigint"
 
 
@@ -83,51 +87,38 @@ def permutation(n: int, turn: int, seed: int) -> tuple[int, int]:
     return a, int(r.integers(0, n))
 
 
-def drawn_from(have: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of each source are among ``n`` slots drawn from ``have``, without replacement."""
-    total = int(have.sum())
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(have, n, method="marginals")
-    # the same law's normal limit, with rounding put where there is most room
-    p = have / total
-    out = np.clip(np.rint(n * p + rng.normal(size=len(have)) * np.sqrt(n * p * (1 - p) * (total - n) / total)), 0, have).astype(np.int64)
-    while (rest := n - int(out.sum())) != 0:
-        s = int(np.argmax(have - out if rest > 0 else out))
-        out[s] += max(-int(out[s]), min(rest, int(have[s] - out[s])))
-    return out
-
-
-def halved(lo: int, hi: int, left: np.ndarray, shard_blocks: int, seed: int, parts: int) -> list[tuple[int, int, np.ndarray]]:
-    """The counts ``left`` of the shards ``lo`` to ``hi`` split into at most ``parts`` runs of shards, in order."""
-    runs = [(lo, hi, left)]
-    while len(runs) < parts and any(b - a > 1 for a, b, _ in runs):
-        finer = []
-        for a, b, have in runs:
-            mid = (a + b) // 2
-            if b - a == 1:
-                finer.append((a, b, have))
-                continue
-            draw = drawn_from(have, min(int(have.sum()), (mid - a) * shard_blocks), np.random.default_rng([seed, a, b]))
-            finer += [(a, mid, draw), (mid, b, have - draw)]
-        runs = finer
-    return runs
-
-
-def runs_of(shards: int, shard_blocks: int, quota: np.ndarray, seed: int) -> list[tuple[int, int, list[int], list[int]]]:
-    """Runs of shards with their counts and each source's first slot number."""
-    out, begin = [], np.zeros(len(quota), np.int64)
-    for a, b, n in halved(0, shards, quota, shard_blocks, seed, RUNS):
-        out.append((a, b, n.tolist(), begin.tolist()))
-        begin = begin + n
-    return out
-
-
-def each_shard(b: pa.RecordBatch, shard_blocks: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for lo, hi, n, start in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "n", "begin")), strict=True):
-        begin = np.array(start, np.int64)
-        for shard, _, own in halved(lo, hi, np.array(n, np.int64), shard_blocks, seed, hi - lo):
-            yield shard, own, begin
-            begin = begin + own
+def drawn(run: int, shards: int, total: int, shard_blocks: int, p: np.ndarray, seed: int) -> np.ndarray:
+    """(shards of the run, sources): how many slots of each of its shards every source gets."""
+    first = run * RUN
+    own = np.arange(first, min(first + RUN, shards))
+    slots = np.minimum(total - own * shard_blocks, shard_blocks)
+    return np.random.default_rng([seed, 0, run]).multinomial(slots, p)
+
+
+class Slots:
+    """Where the drawn slots of every source lead: to (source, number) below the source's quota."""
+
+    def __init__(self, got: np.ndarray, quota: np.ndarray, seed: int):
+        self.got, self.quota = got, quota
+        self.mix = [permutation(int(n), 0, seed + 1000 + i) if n else (1, 0) for i, n in enumerate(got)]
+        over, under = np.maximum(got - quota, 0), np.maximum(quota - got, 0)
+        self.over_first, self.under_end = np.cumsum(over) - over, np.cumsum(under)
+        self.under_first = self.under_end - under
+
+    def place(self, s: int, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        j = permuted(index, *self.mix[s], int(self.got[s]))
+        src = np.full(len(j), s)
+        over = np.flatnonzero(j >= self.quota[s])
+        if len(over):
+            u = self.over_first[s] + j[over] - self.quota[s]
+            src[over] = np.searchsorted(self.under_end, u, "right")
+            j[over] = self.got[src[over]] + u - self.under_first[src[over]]
+        return src, j
+
+
+def permuted(i: np.ndarray, a: int, b: int, n: int) -> np.ndarray:
+    # products of numbers below 2**31 fit; beyond, Python's integers are used
+    return ((a * (i if n < 2**31 else i.astype(object)) + b) % n).astype(np.int64)
 
 
 def positions(documents: DataFrame, names: list[str], path: str) -> DataFrame:
@@ -152,33 +143,49 @@ def mix(documents: DataFrame, mix_targets: DataFrame, block: int = BLOCK, shard_
     quota = quotas(np.array([wanted[s][0] for s in names]), blocks * np.array([wanted[s][1] for s in names]), total_blocks)
     total = int(quota.sum())
     shards = -(-total // shard_blocks)
-    turns = {s: [permutation(int(b), t, seed + i) for t in range(-(-int(q) // int(b)))] if b and q else [] for i, (s, b, q) in enumerate(zip(names, blocks, quota, strict=True))}
-
     if not total:
         return spark.createDataFrame([], SELECTION + ", doc_id bigint, text_hash bigint, start_token bigint, n_tokens bigint")
-    # here the shards are split down to at most RUNS runs; the runs are split on by the workers
-    runs = runs_of(shards, shard_blocks, quota, seed)
-    plan = spark.createDataFrame(runs, "lo bigint, hi bigint, n array<bigint>, begin array<bigint>").repartition(min(len(runs), 64))
+    turns = [[permutation(int(b), t, seed + i) for t in range(-(-int(q) // int(b)))] if b and q else [] for i, (b, q) in enumerate(zip(blocks, quota, strict=True))]
+    p = quota / total
+    runs = -(-shards // RUN)
+    numbers = spark.range(0, runs, 1, max(-(-runs // TASK_RUNS), min(runs, spark.sparkContext.defaultParallelism)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            n = [drawn(int(r), shards, total, shard_blocks, p, seed).sum(0) for r in ids]
+            if n:
+                yield pa.record_batch({"run": pa.array(np.repeat(ids, len(p))), "s": pa.array(np.tile(np.arange(len(p)), len(ids))), "n": pa.array(np.concatenate(n))})
+
+    per_run = numbers.mapInArrow(counted, "run bigint, s bigint, n bigint")
+    begins = cut(running(per_run, ["s"], F.col("n"), ["run"], runs * len(p), "begin"))
+    got = np.zeros(len(p), np.int64)
+    for r in begins.groupBy("s").agg(F.sum("n").alias("n")).collect():  # one row for each source
+        got[r["s"]] = r["n"]
+    where = Slots(got, quota, seed)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, n, start in each_shard(b, shard_blocks, seed):
-                src = np.repeat(np.arange(len(n)), n)
-                index = np.concatenate([np.arange(f, f + m) for f, m in zip(start, n, strict=True)]) if len(src) else np.zeros(0, np.int64)
-                blk, rep = np.zeros(len(src), np.int64), np.zeros(len(src), np.int64)
-                for s in range(len(n)):
-                    own = src == s
-                    if own.any():
-                        rep[own] = index[own] // blocks[s]
-                        # products of numbers below 2**31 fit; beyond, Python's integers are used
-                        ab = np.array(turns[names[s]], dtype=np.int64 if blocks[s] < 2**31 else object)[rep[own]]
-                        blk[own] = ((ab[:, 0] * (index[own] % blocks[s]) + ab[:, 1]) % int(blocks[s])).astype(np.int64)
-                order = np.random.default_rng([seed, 1, shard]).permutation(len(src))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(src), shard)), pa.array(np.arange(len(src))), pa.array([names[s] for s in src[order]], pa.string()), pa.array(blk[order]), pa.array(rep[order]),
-                ], names=["shard", "slot", "source", "block", "repeat"])
-
-    chosen = plan.mapInArrow(slots, SELECTION)
+            for run, own in zip(b.column("run").to_pylist(), b.column("begins").to_pylist(), strict=True):
+                begin = np.array([x["begin"] for x in own], np.int64)
+                for i, n in enumerate(drawn(run, shards, total, shard_blocks, p, seed)):
+                    shard = run * RUN + i
+                    src, number = (np.concatenate(x) for x in zip(*[where.place(s, np.arange(begin[s], begin[s] + n[s])) for s in range(len(n))], strict=True))
+                    begin = begin + n
+                    blk, rep = np.zeros(len(src), np.int64), np.zeros(len(src), np.int64)
+                    for s in np.unique(src).tolist():
+                        at = np.flatnonzero(src == s)
+                        rep[at] = number[at] // blocks[s]
+                        for turn in np.unique(rep[at]).tolist():
+                            x = at[rep[at] == turn]
+                            blk[x] = permuted(number[x] % blocks[s], *turns[s][turn], int(blocks[s]))
+                    order = np.random.default_rng([seed, 1, shard]).permutation(len(src))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(src), shard)), pa.array(np.arange(len(src))), pa.array([names[s] for s in src[order]], pa.string()), pa.array(blk[order]), pa.array(rep[order]),
+                    ], names=["shard", "slot", "source", "block", "repeat"])
+
+    # a run has one entry for each source
+    chosen = begins.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("s", "begin"))).alias("begins")).mapInArrow(slots, SELECTION)
     first, last = F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n_tokens") - 1) / block)
     pieces = placed.select("source", "doc_id", "text_hash", "before", "n_tokens", F.explode(F.sequence(first, last)).alias("block"))
     at = F.greatest(F.col("before"), F.col("block") * block)
@@ -194,3 +201,15 @@ def shares(selection: DataFrame, mix_targets: DataFrame) -> DataFrame:
     out = t.join(got, "source", "left").withColumn("selected_tokens", F.coalesce("selected_tokens", F.lit(0)))
     total = got.agg(F.sum("selected_tokens")).scalar()
     return out.select("source", "target_share", "max_repeats", "repeats", "selected_tokens", F.coalesce(F.col("selected_tokens") / total, F.lit(0.0)).alias("actual_share"))
+
+
+def checked(selection: DataFrame, documents: DataFrame, mix_targets: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """``(source, has_documents, share_met, repeats_met)``: what must hold of a selection as large as it can be.
+
+    A share is met if it is within ``tolerance`` of the target's part of the targets of all sources with documents.
+    """
+    known = documents.where("doc_id is not null").select(source_name("source").alias("source"), "text").where(F.regexp_replace("text", r"(?U)\s", "") != "").select("source").distinct().withColumn("has_documents", F.lit(True))
+    s = shares(selection, mix_targets).join(known, "source", "left").withColumn("has_documents", F.coalesce("has_documents", F.lit(False)))
+    whole = s.where("has_documents").agg(F.sum("target_share")).scalar()
+    due = F.when(F.col("has_documents"), F.col("target_share") / whole).otherwise(0.0)
+    return s.select("source", "has_documents", (F.abs(F.col("actual_share") - due) <= tolerance).alias("share_met"), (F.coalesce("repeats", F.lit(0)) <= F.col("max_repeats")).alias("repeats_met"))

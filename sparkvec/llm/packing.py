@@ -1,22 +1,25 @@
 """Filling containers of fixed capacity with items: harmonic packing.
 
 Lengths fall into reciprocal-capacity classes: class k holds lengths above ``capacity / (k + 1)`` and up to ``capacity / k``,
-of which exactly k fit into one bin. To leave less unused, every class is cut into finer steps (``STEP`` apart), and a bin
-is filled by a pattern with a fixed count of documents of each step: the largest step first, then whatever steps still fit.
-A pattern is repeated as often as the counts of its steps allow, so the plan needs only the histogram of steps - at most a few
-hundred counts for each capacity - and every worker finds a document's bin from its number within its step alone. Numbers are
-given without gathering a step in one task (see ``operators.prefix``).
+of which exactly k fit into one bin. Items are spread over shards by a hash, and each worker fills the bins of every class of its
+shard by itself: first each bin of class k gets k items of that class, from the largest class (k = 1) on; then the rests of those
+bins are filled with items of the classes of smaller lengths, the largest that fits first; the items that are left go on to
+bins of their own class. Nothing is planned for all shards together: a shard leaves at most one bin of each class short of its count.
+
+Plan: one pass sizes the texts, one shuffle takes repeated rows out, one brings a shard's ids and sizes (never texts) together.
+A shard has about ``SHARD`` documents, however many there are, and a hot key's documents are spread by their hash.
 
 Defined cases
     Null and blank texts aren't packed. Rows that repeat an id and its text are packed once; a null id is an id like any
     other. A text longer than the capacity is cut into pieces that fill a bin each and a rest that is packed like an item;
     nothing else is split. Equal capacities under several names are packed for each name. Containers with a null, zero or
-    negative capacity are ignored. Empty tables give no rows. Other columns are ignored.
+    negative capacity are ignored. Empty tables give no rows. Bins are numbered within a container, with gaps between shards.
+    Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -24,104 +27,138 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm import tokens
-from sparkvec.operators.prefix import running
-from sparkvec.session import cut
-
-STEP = 1.02
-
-
-def steps(capacity: int) -> np.ndarray:
-    """Upper ends of the steps: every length up to 1 / (STEP - 1), then STEP apart, with all class ends capacity // k."""
-    ends, b = {capacity // k for k in range(1, min(capacity, 512) + 1)}, 1
-    while b < capacity:
-        ends.add(b)
-        b = max(b + 1, int(b * STEP))
-    return np.array(sorted(ends), np.int64)
 
-
-def plan(ends: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[list[tuple[int, int, int]]], int]:
-    """For each step its runs ``(first number, first bin, documents per bin)``, and the number of bins."""
-    left = counts.astype(np.int64).copy()
-    used = np.zeros(len(ends), np.int64)
-    runs: list[list[tuple[int, int, int]]] = [[] for _ in ends]
+SHARD = 50_000
+PACKED = "container string, bin bigint, bin_class bigint, doc_id bigint, text_hash bigint, part bigint, start_token bigint, n_tokens bigint"
+
+
+def fill_bins(size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of every item, class of every bin) of one shard; sizes are within 1 and the capacity."""
+    order = np.argsort(-size, kind="stable")
+    s = size[order]
+    kind = capacity // np.maximum(s, 1)
+    left = np.bincount(s, minlength=capacity + 1)  # items of each length without a bin
+    first = np.searchsorted(-s, -np.arange(capacity + 1), "left")  # where a length's items begin; used ones are its first
+    used = np.zeros(capacity + 1, np.int64)
+    present = np.flatnonzero(left)
+    below = np.full(capacity + 1, -1, np.int64)  # the greatest length up to this one that may have items
+    below[present] = present
+    below = np.maximum.accumulate(below).tolist()
+    place = np.empty(len(s), np.int64)
+    classes: list[np.ndarray] = []
     bins = 0
-    top = len(ends) - 1
-    while True:
-        while top >= 0 and left[top] == 0:
-            top -= 1
-        if top < 0:
-            return runs, bins
-        room, pattern = capacity, []
-        s = top
-        while s >= 0:
-            if left[s] and ends[s] <= room:
-                n = int(min(left[s], room // ends[s]))
-                pattern.append((s, n))
-                room -= n * int(ends[s])
-            s = min(s - 1, int(np.searchsorted(ends, room, "right")) - 1)
-        times = min(int(left[s]) // n for s, n in pattern)
-        for s, n in pattern:
-            runs[s].append((int(used[s]), bins, n))
-            used[s] += n * times
-            left[s] -= n * times
-        bins += times
+
+    def largest(room: int) -> int:
+        at = below[room]
+        while at > 0 and not left[at]:
+            at = below[at - 1]
+        below[room] = at
+        return at
+
+    for k in np.unique(kind).tolist():
+        lengths = present[(capacity // np.maximum(present, 1) == k) & (left[present] > 0)][::-1]
+        if not len(lengths):
+            continue
+        # a class's own bins: k items each, of neighbouring lengths
+        own = np.concatenate([np.arange(first[x] + used[x], first[x] + used[x] + left[x]) for x in lengths])
+        used[lengths] += left[lengths]
+        left[lengths] = 0
+        n = -(-len(own) // k)
+        at = np.arange(len(own)) // k
+        place[own] = bins + at
+        rooms: dict[int, list[np.ndarray]] = {}
+        room = capacity - np.bincount(at, s[own], n).astype(np.int64)
+        for r in np.unique(room).tolist():
+            rooms[r] = [bins + np.flatnonzero(room == r)]
+        bins += n
+        classes.append(np.full(n, k, np.int64))
+        # their rests: the largest item that fits, for all bins with the same room at once
+        heap = [-r for r in rooms]
+        heapq.heapify(heap)
+        while heap:
+            r = -heapq.heappop(heap)
+            open_ = np.concatenate(rooms.pop(r))
+            while len(open_) and (x := largest(r)) > 0:
+                take = min(len(open_), int(left[x]))
+                begin = first[x] + used[x]
+                place[begin : begin + take] = open_[:take]
+                used[x] += take
+                left[x] -= take
+                if r > x:
+                    if r - x not in rooms:
+                        rooms[r - x] = []
+                        heapq.heappush(heap, x - r)
+                    rooms[r - x].append(open_[:take])
+                open_ = open_[take:]
+    out = np.empty(len(s), np.int64)
+    out[order] = place
+    return out, np.concatenate(classes) if classes else np.zeros(0, np.int64)
 
 
 def containers(packing_sizes: DataFrame) -> list[tuple[str, int]]:
+    """A table of settings, one row each."""
     rows = packing_sizes.select("container", F.col("capacity_tokens").cast("bigint").alias("c")).where("c > 0").distinct().collect()
     return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[1], str(r[0])))
 
 
-def pack(documents: DataFrame, packing_sizes: DataFrame, path: str = tokens.TOKENIZER) -> DataFrame:
-    """``(container, bin, doc_id, text_hash, part, start_token, n_tokens)``: where every document, or piece of one, goes."""
+def texts_of(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text").where(F.regexp_replace("text", r"(?U)\s", "") != "")
+
+
+def pack(documents: DataFrame, packing_sizes: DataFrame, path: str = tokens.TOKENIZER, shard: int = SHARD) -> DataFrame:
+    """``(container, bin, bin_class, doc_id, text_hash, part, start_token, n_tokens)``: where every document, or piece of one, goes."""
     spark: SparkSession = documents.sparkSession
-    schema = "container string, capacity bigint, step int, doc_id bigint, text_hash bigint, part bigint, start_token bigint, n_tokens bigint"
     full = containers(packing_sizes)
     if not full:
-        return spark.createDataFrame([], "container string, bin bigint, doc_id bigint, text_hash bigint, part bigint, start_token bigint, n_tokens bigint")
-    ends = {c: steps(c) for _, c in full}
-    texts = documents.select("doc_id", "text").where(F.regexp_replace("text", r"(?U)\s", "") != "")
-    # ids and sizes only: the texts are read once
-    sized = cut(tokens.sizes(texts, ["doc_id"], path=path).distinct())
-    rows = sized.count()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, h, n = b.column("doc_id"), b.column("text_hash"), b.column("n_tokens").to_numpy(zero_copy_only=False)
-            for name, c in full:
-                pieces = -(-n // c)
-                at = np.repeat(np.arange(len(n)), pieces)
-                part = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                size = np.minimum(n[at] - part * c, c)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * len(at), pa.string()), pa.array(np.full(len(at), c)), pa.array(np.searchsorted(ends[c], size).astype(np.int32)),
-                    doc.take(take), h.take(take), pa.array(part), pa.array(part * c), pa.array(size),
-                ], names=["container", "capacity", "step", "doc_id", "text_hash", "part", "start_token", "n_tokens"])
-
-    items = sized.mapInArrow(spread, schema)
-    counts = items.groupBy("container", "capacity", "step").agg(F.count(F.lit(1)).alias("n")).collect()  # at most containers x steps
-    lookup = []
-    for name, c in full:
-        n = np.zeros(len(ends[c]), np.int64)
-        for r in counts:
-            if r["container"] == name and r["capacity"] == c:
-                n[r["step"]] = r["n"]
-        for s, run in enumerate(plan(ends[c], n, c)[0]):
-            if run:
-                lookup.append((name, c, s, run))
-    runs = spark.createDataFrame(lookup, "container string, capacity bigint, step int, runs array<struct<start:bigint,bin:bigint,n:bigint>>")
-    numbered = running(items, ["container", "capacity", "step"], F.lit(1), ["doc_id", "text_hash", "part"], rows * len(full), "number")
-    # containers x steps rows, whatever the number of documents
-    placed = numbered.join(F.broadcast(runs), [numbered[c].eqNullSafe(runs[c]) for c in ("container", "capacity", "step")]).select(numbered["*"], "runs")
-    run = F.array_max(F.filter("runs", lambda r: r["start"] <= F.col("number")))
-    out = placed.withColumn("r", run)
-    return out.select("container", (F.col("r.bin") + F.floor((F.col("number") - F.col("r.start")) / F.col("r.n"))).alias("bin"), "doc_id", "text_hash", "part", "start_token", "n_tokens")
+        return spark.createDataFrame([], PACKED)
+    shards = max(1, -(-documents.count() // shard))
+    sized = tokens.sizes(texts_of(documents), ["doc_id"], path=path).distinct()
+    placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)))
+
+    def fill_shard(group: pa.Table) -> pa.Table:
+        out = []
+        t = group.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("text_hash", "ascending")])
+        doc, h, n, own = t.column("doc_id"), t.column("text_hash"), t.column("n_tokens").to_numpy(), t.column("shard")[0].as_py()
+        for name, c in full:
+            pieces = -(-n // c)
+            at = np.repeat(np.arange(len(n)), pieces)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            size = np.minimum(n[at] - part * c, c)
+            bin_, kind = fill_bins(size, c)
+            take = pa.array(at)
+            out.append(pa.table([
+                pa.array([name] * len(at), pa.string()), pa.array(own << 32 | bin_), pa.array(kind[bin_]), doc.take(take), h.take(take), pa.array(part), pa.array(part * c), pa.array(size),
+            ], names=[x.split()[0] for x in PACKED.split(", ")]))
+        return pa.concat_tables(out)
+
+    return placed.groupBy("shard").applyInArrow(fill_shard, PACKED)
 
 
 def fill(packed: DataFrame, packing_sizes: DataFrame) -> DataFrame:
-    """``(container, capacity_tokens, bins, documents, tokens, used_share)``: how full each container's bins are."""
-    per_bin = packed.groupBy("container", "bin").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("d"))
-    total = per_bin.groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("d").alias("documents"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+    """``(container, capacity_tokens, bin_class, bins, documents, tokens, fullest, used_share)``: how full each class's bins are."""
+    per_bin = packed.groupBy("container", "bin", "bin_class").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("d"))
+    total = per_bin.groupBy("container", "bin_class").agg(F.count(F.lit(1)).alias("bins"), F.sum("d").alias("documents"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
     sizes = packing_sizes.select("container", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).distinct()
-    return total.join(sizes, "container").select("container", "capacity_tokens", "bins", "documents", "tokens", "fullest", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("used_share"))
+    return total.join(sizes, total["container"].eqNullSafe(sizes["container"])).select(total["container"], "capacity_tokens", "bin_class", "bins", "documents", "tokens", "fullest", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("used_share"))
+
+
+def checked(documents: DataFrame, packed: DataFrame, packing_sizes: DataFrame, path: str = tokens.TOKENIZER) -> DataFrame:
+    """``(container, texts, lost_tokens, overfull_bins, needless_splits, lone_bins)``: what must hold of a packing; all but ``texts`` are 0.
+
+    ``lost_tokens`` are those of texts that aren't covered once from end to end, ``lone_bins`` bins with fewer items than their class
+    beyond one in each shard and class.
+    """
+    sized = tokens.sizes(texts_of(documents), ["doc_id"], path=path).distinct().withColumnRenamed("n_tokens", "size")
+    caps = packing_sizes.select("container", F.col("capacity_tokens").cast("bigint").alias("capacity")).where("capacity > 0").distinct()
+    own = packed.groupBy("container", "doc_id", "text_hash").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("reach"), F.count_distinct("start_token").alias("starts"))
+    want = sized.join(F.broadcast(caps))  # a table of settings
+    both = want.join(own, [want["container"].eqNullSafe(own["container"]), want["doc_id"].eqNullSafe(own["doc_id"]), want["text_hash"] == own["text_hash"]], "left")
+    whole = (F.col("placed") == F.col("size")) & (F.col("reach") == F.col("size")) & (F.col("starts") == F.col("pieces"))
+    texts = both.groupBy(want["container"].alias("container")).agg(
+        F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.when(~F.coalesce(whole, F.lit(False)), F.col("size"))), F.lit(0)).cast("bigint").alias("lost_tokens"),
+        F.coalesce(F.sum(F.when(F.col("pieces") != F.ceil(F.col("size") / F.col("capacity")), 1)), F.lit(0)).cast("bigint").alias("needless_splits"),
+    )
+    per_bin = packed.groupBy("container", "bin", "bin_class").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("d")).join(F.broadcast(caps), "container")
+    short = per_bin.groupBy("container", "bin_class", F.shiftright("bin", 32).alias("shard")).agg(F.sum(F.when(F.col("t") > F.col("capacity"), 1).otherwise(0)).alias("over"), F.sum(F.when(F.col("d") < F.col("bin_class"), 1).otherwise(0)).alias("few"))
+    bins = short.groupBy("container").agg(F.sum("over").cast("bigint").alias("overfull_bins"), F.sum(F.greatest(F.col("few") - 1, F.lit(0))).cast("bigint").alias("lone_bins"))
+    return texts.join(bins, "container").select("container", "texts", "lost_tokens", "overfull_bins", "needless_splits", "lone_bins")

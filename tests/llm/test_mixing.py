@@ -81,12 +81,28 @@ def test_permutations():
             assert sorted((a * i + b) % n for i in range(n)) == list(range(n))
 
 
-def test_runs_add_up():
-    q = np.array([1000, 33, 7])
-    runs = M.runs_of(-(-1040 // 10), 10, q, 3)
-    assert np.sum([r[2] for r in runs], 0).tolist() == q.tolist()
-    big = M.drawn_from(np.array([10**10, 10**9, 5]), 10**9, np.random.default_rng(0))
-    assert big.sum() == 10**9 and (big >= 0).all() and big[2] <= 5
+def test_draws_are_multinomial():
+    p = np.array([0.5, 0.3, 0.2])
+    n = np.concatenate([M.drawn(r, 2000, 2000 * 64 - 10, 64, p, 3) for r in range(125)])
+    assert n.shape == (2000, 3) and (n.sum(1)[:-1] == 64).all() and n[-1].sum() == 54
+    assert (M.drawn(7, 2000, 2000 * 64 - 10, 64, p, 3) == n[112:128]).all()  # a lost task draws the same
+    assert abs(n[:, 0].var() - 64 * 0.25) < 2  # not narrowed by the totals
+
+
+def test_slots_meet_the_quotas():
+    got, quota = np.array([510, 290, 0, 200]), np.array([500, 300, 5, 195])
+    where = M.Slots(got, quota, 1)
+    pairs = []
+    for s, n in enumerate(got):
+        pairs += list(zip(*[x.tolist() for x in where.place(s, np.arange(n))]))
+    assert len(set(pairs)) == 1000
+    assert all(sorted(j for s, j in pairs if s == t) == list(range(q)) for t, q in enumerate(quota))
+
+
+def test_checked(spark, rows):
+    big = rows + [(i, "more words " * 20, ["big", "mid_one", "small"][i % 3]) for i in range(10_000, 10_600)]
+    got = M.checked(M.mix(docs(spark, big), targets(spark, T[:4]), block=8, shard_blocks=16), docs(spark, big), targets(spark, T[:4])).collect()
+    assert {tuple(r) for r in got} == {("big", True, True, True), ("mid_one", True, True, True), ("small", True, True, True), ("absent", False, True, True)}
 
 
 def test_empty(spark):

@@ -39,7 +39,7 @@ def test_everything_is_placed_once_and_fits(spark, rows):
             total[r["doc_id"]] += r["n_tokens"]
             parts[r["doc_id"], r["text_hash"]].append((r["part"], r["start_token"], r["n_tokens"]))
         assert total == need
-        assert max(bins.values()) <= cap and sorted(bins) == list(range(len(bins)))
+        assert max(bins.values()) <= cap
         for p in parts.values():
             p.sort()
             size = sum(x[2] for x in p)
@@ -50,25 +50,34 @@ def test_everything_is_placed_once_and_fits(spark, rows):
 
 def test_fill_report(spark, rows):
     s = sizes(spark, [("m", 256)])
-    r = P.fill(P.pack(docs(spark, rows), s), s).collect()[0]
-    assert r["used_share"] > 0.9 and r["fullest"] <= 256
-
-
-def test_plan_uses_each_once():
-    ends = P.steps(100)
-    counts = np.random.default_rng(1).integers(0, 50, len(ends))
-    runs, bins = P.plan(ends, counts, 100)
-    load = np.zeros(bins, int)
-    for s, own in enumerate(runs):
-        at = 0
-        starts = [*[r[0] for r in own[1:]], counts[s]]
-        for (first, b, n), end in zip(own, starts):
-            assert first == at
-            for i in range(first, end):
-                load[b + (i - first) // n] += ends[s]
-            at = end
-        assert at == counts[s]
-    assert load.max() <= 100 and load.min() > 0
+    packed = P.pack(docs(spark, rows), s).cache()
+    got = P.fill(packed, s).collect()
+    assert sum(r["tokens"] for r in got) / sum(r["bins"] * r["capacity_tokens"] for r in got) > 0.9 and max(r["fullest"] for r in got) <= 256
+    assert len({r["bin_class"] for r in got}) == len(got) > 3
+    assert [tuple(r)[2:] for r in P.checked(docs(spark, rows), packed, s).collect()] == [(0, 0, 0, 0)]
+    lost = packed.where("doc_id <> 5")
+    assert P.checked(docs(spark, rows), lost, s).collect()[0]["lost_tokens"] > 0
+
+
+def test_a_bin_has_as_many_as_its_class_before_its_rest():
+    r = np.random.default_rng(1)
+    for cap in (1, 7, 100, 513):
+        size = np.minimum(np.maximum(1, r.lognormal(3, 1, 3000).astype(int)), cap)
+        bins, kind = P.fill_bins(size, cap)
+        load = np.bincount(bins, size)
+        assert load.max() <= cap and len(load) == len(kind) and load.min() > 0
+        own = np.bincount(bins, (cap // size) == kind[bins])  # items of the bin's class
+        short = own < kind
+        assert len(set(kind[short])) == short.sum()  # at most one of each class
+        assert (own <= kind).all() and load.sum() / (len(load) * cap) > 0.97
+    assert [len(x) for x in P.fill_bins(np.zeros(0, int), 5)] == [0, 0]
+
+
+def test_shards(spark, rows):
+    s = sizes(spark, [("m", 256)])
+    packed = P.pack(docs(spark, rows), s, shard=50).cache()
+    assert packed.select(P.F.shiftright("bin", 32)).distinct().count() > 5
+    assert [tuple(r)[2:] for r in P.checked(docs(spark, rows), packed, s).collect()] == [(0, 0, 0, 0)]
 
 
 def test_empty(spark):
