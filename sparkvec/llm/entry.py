@@ -15,16 +15,29 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PUNCTUATION_SQL = PUNCTUATION.replace("'", "''")
 
-P1_SQL = """
+USABLE_SQL = """
 WITH u AS (
   SELECT id, arg_max(vector::DOUBLE[], struct_pack(t := coalesce(epoch_us(ts), -9000000000000000), v := vector)) AS v FROM vectors
   WHERE id IS NOT NULL AND len(vector) = 48 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY id
-), n AS (
+)
+"""
+P1_SQL = USABLE_SQL + """, n AS (
   SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r
   FROM u a JOIN u b ON a.id <> b.id QUALIFY r <= 6
 ), t AS (SELECT id FROM n GROUP BY id HAVING count(*) = 6 AND max(d) FILTER (r = 5) <= 0.6 * max(d) FILTER (r = 6) AND max(d) FILTER (r = 6) > 0)
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM n WHERE id IN (SELECT id FROM t) AND r <= 5
 """
+# a set stands apart if each of its n records has, after its n nearest (itself among them), a gap, and the same n nearest
+P4_SQL = USABLE_SQL + """, s AS (
+  SELECT a.id, list_distance(a.v, b.v) AS d, row_number() OVER w AS n, lead(list_distance(a.v, b.v)) OVER w AS next,
+    bit_xor(hash(b.id)) OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sig
+  FROM u a, u b WINDOW w AS (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id)
+), g AS (SELECT id, n, sig FROM s WHERE n >= 20 AND (next IS NULL OR (d <= 0.8 * next AND next > 0))
+), sets AS (SELECT n, sig FROM g GROUP BY ALL HAVING count(*) = n
+), m AS (SELECT id, n, sig, min(n) OVER (PARTITION BY id) AS least FROM g JOIN sets USING (n, sig)
+), kept AS (SELECT n, sig FROM m GROUP BY ALL HAVING max(n - least) = 0)
+SELECT id AS id_a, lead(id) OVER (PARTITION BY n, sig ORDER BY id) AS id_b FROM m JOIN kept USING (n, sig) QUALIFY id_b IS NOT NULL
+"""
 
 COUNTS_SQL = f"""
 WITH words AS (
@@ -115,4 +128,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}
