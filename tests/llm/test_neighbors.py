@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkvec.llm import neighbors as N
@@ -131,3 +132,33 @@ def test_copies_above_the_cap_find_each_other_and_no_one_twice(spark):
     df = table(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]).select("id", "vector").cache()
     got = {r["id"]: r for r in N.knn(df, 6, cap=50, sample=1000).collect()}
     assert all(len(set(got[i]["neighbors"])) == 6 and max(got[i]["neighbors"]) < 700 and i not in got[i]["neighbors"] for i in range(700))
+
+
+def test_every_code_within_the_radius_shares_a_bucket(spark):
+    """Pigeonhole: codes that differ in at most tables - 1 bits meet, whatever the vectors' distance."""
+    x = clustered(3000, seed=5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>")
+    index = N.fit(df, 48, N.TABLES, N.BITS, 150, N.SAMPLE)
+    assert index.depth <= N.BITS and not index.below
+    code = (x @ index.w) > index.t
+    parts = index.parts(x)
+    assert np.bincount(parts[:, 0]).max() < 3000 / 2
+    hamming = (code[:, None, :] != code[None]).sum(2)
+    near = hamming < N.TABLES
+    meet = (parts[:, None, :] == parts[None]).any(2)
+    assert near.sum() > 2 * len(x) and meet[near].all()
+
+
+def test_recall_in_a_dense_cloud(spark):
+    """A third of all rows lie in one place that no threshold of the whole table cuts; they are no copies."""
+    r = np.random.default_rng(8)
+    cloud = r.normal(size=(12_000, 48)) * 0.05 + np.repeat(r.normal(size=(600, 48)) * 0.1, 20, 0)
+    x = np.concatenate([cloud + 30, r.normal(size=(24_000, 48)) * 4]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "vector": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 48).cast(pa.list_(pa.float32()))}))
+    got = {row["id"]: row["neighbors"] for row in N.knn(df, 10, cap=2000).where("id < 12000 and id % 20 = 0").collect()}
+    hit = 0
+    for i, own in got.items():
+        d = ((x[:12_000] - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(set(np.argpartition(d, 10)[:10].tolist()) & set(own))
+    assert len(got) == 600 and hit / 6000 >= 0.9
