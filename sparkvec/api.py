@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvec.operators import graph
+from sparkvec.operators import graph, knn, lifecycle
 from sparkvec.operators.filters import Filter
 from sparkvec.plans.request import Ticket, parse_search, parse_ticket, planned
 from sparkvec.session import ship
@@ -63,6 +63,19 @@ class Client:
             raise NotFound(str(id))
         return self.search(dataset, vector=list(first[0]), k=k, **request)
 
+    def search_by_ids(self, dataset: str, ids: DataFrame, k: int = 10, **how: str) -> DataFrame:
+        """The nearest of each of many stored items (a column ``id``)."""
+        rows = self.store.scan(dataset)
+        return knn.by_id(rows, ids, k, vector_col="vector" if "vector" in rows.columns else "embedding", **how)
+
+    def digest(self, dataset: str, id_col: str = "id", ts: str = "ts") -> DataFrame:
+        """One digest of all rows' ids and times, to compare two copies by."""
+        return lifecycle.digest_root(self.store.scan(dataset), id_col, ts)
+
+    def differing(self, dataset: str, other: str, id_col: str = "id", ts: str = "ts") -> DataFrame:
+        """The leaves in which two copies differ."""
+        return lifecycle.differing_leaves(*[lifecycle.digest_leaves(self.store.scan(x), id_col, ts) for x in (dataset, other)])
+
     def ticket(self, text: str) -> DataFrame:
         return planned(self.store, parse_ticket(text))
 
@@ -72,8 +85,8 @@ class Client:
     def stream(self, dataset: str, filters: tuple[Filter, ...] = ()) -> Iterator[Row]:
         return self.download(dataset, filters).toLocalIterator(prefetchPartitions=True)
 
-    def delete(self, dataset: str, ids: list) -> None:
-        self.store.delete(dataset, self.spark.createDataFrame([(str(i),) for i in ids], "id string"))
+    def delete(self, dataset: str, ids: list) -> dict:
+        return self.store.delete(dataset, self.spark.createDataFrame([(str(i),) for i in ids], "id string"))
 
     def drop(self, dataset: str) -> None:
         self.store.drop(dataset)
@@ -103,6 +116,9 @@ class Client:
     def namespaces(self) -> list[str]:
         return self.store.namespaces()
 
+    def count_datasets(self, namespace: str = "default") -> int:
+        return len(self.store.datasets(namespace))
+
     def snapshot(self, dataset: str, to: str) -> None:
         self.store.snapshot(dataset, to)
 

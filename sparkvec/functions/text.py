@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: fixed value: what is cut off a term's ends
 PUNCTUATION = ".,!?;:()[]{}'\"><"
 
 
@@ -28,9 +31,42 @@ def namespace(path: Column) -> Column:
     )
 
 
-def clean(text: Column, longest: int = 4096) -> Column:
-    """Without control characters (other than tab and line ends) and white space at the ends, cut to ``longest`` characters."""
-    return F.substring(F.trim(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")), 1, longest)
+def fields(text: Column) -> Column:
+    """The number of pieces between white space."""
+    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""))
+
+
+def clean(text: Column, longest: int | None = None) -> Column:
+    """Without control characters (other than tab and line ends) and white space at the ends; cut only if ``longest`` is given."""
+    out = F.trim(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    return out if longest is None else F.substring(out, 1, longest)
+
+
+#: fixed values of the 64-bit FNV-1a hash
+FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211
+
+
+def fnv1a(text: Column) -> Column:
+    """64-bit FNV-1a of the UTF-8 bytes, as a signed number; all texts of a batch advance by one byte at a time."""
+
+    @F.pandas_udf("bigint")
+    def hashed(s: pd.Series) -> pd.Series:
+        raw = [b"" if t is None else t.encode() for t in s]
+        n = np.array([len(b) for b in raw], np.int64)
+        flat, first = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.cumsum(n) - n
+        h = np.full(len(raw), FNV_START, np.uint64)
+        longest_first = np.argsort(-n, kind="stable")
+        open_ = np.searchsorted(-n[longest_first], -np.arange(1, int(n.max(initial=0)) + 1), "right")
+        for i, m in enumerate(open_):
+            at = longest_first[:m]
+            h[at] = (h[at] ^ flat[first[at] + i]) * np.uint64(FNV_PRIME)
+        return pd.Series(pd.arrays.IntegerArray(h.view(np.int64), s.isna().to_numpy()), index=s.index)
+
+    return hashed(text)
+
+
+def crc32(text: Column) -> Column:
+    return F.crc32(text)
 
 
 def digest(*columns: Column) -> Column:

@@ -6,6 +6,8 @@ element is null), so they never rank. Vectors of any numeric type are cast.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,28 @@ def complex_dot_real(a: Column, b: Column) -> Column:
     return _sum(F.transform(part, lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)))
 
 
+def half(v: Column) -> Column:
+    """The vector rounded to 16-bit floats."""
+
+    @F.pandas_udf("array<float>")
+    def rounded(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
+
+    return rounded(v.cast("array<float>"))
+
+
+#: fixed values: the bounds of the integer types
+INTEGERS = {"int8": (-128, 127), "int16": (-32768, 32767), "int32": (-(2**31), 2**31 - 1), "int64": (-(2**63), 2**63 - 1), "uint8": (0, 255), "uint16": (0, 65535), "uint32": (0, 2**32 - 1)}
+
+
+def integers(v: Column, kind: str = "int8") -> Column:
+    """The vector's numbers without their fractions, held within the type's bounds; of Spark's narrowest type that has room."""
+    lo, hi = INTEGERS[kind]
+    spark_type = {"int8": "tinyint", "int16": "smallint", "uint8": "smallint", "int32": "int", "uint16": "int"}.get(kind, "bigint")
+    held = lambda x: F.when(x >= F.lit(float(hi)), F.lit(hi)).when(x <= F.lit(float(lo)), F.lit(lo)).otherwise(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
+    return F.transform(doubles(v), lambda x: held(x).cast(spark_type))
+
+
 def bounds(v: Column) -> Column:
     return F.struct(F.array_min(doubles(v)).alias("lo"), F.array_max(doubles(v)).alias("hi"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec.functions import vector as V
 from sparkvec.session import cut
 
 CUT_EVERY = 4
@@ -137,14 +138,14 @@ def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
     return label
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: connected components, named by their smallest node; orphans of a proximity graph are those alone.
 
     Every round a node takes the least label around it and then the label of that label, so paths halve.
     """
     e = cut(directed(edges, "both").select("src", "dst").distinct())
     c = cut(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(rounds):
+    while True:
         around = e.join(c, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("least"))
         hop = c.join(around, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("least", "component")).alias("component"))
         up = c.select(F.col("node").alias("component"), F.col("component").alias("up"))
@@ -152,8 +153,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         done = new.where("old <> component").isEmpty()
         c = new.select("node", "component")
         if done:
-            break
-    return c
+            return c
 
 
 def paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
@@ -176,6 +176,47 @@ def paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
     return out
 
 
+def directed_paths(pairs: DataFrame, edges: DataFrame, positions: DataFrame, max_hops: int = 4) -> DataFrame:
+    """``(start, target, hops, path, distances)``: of the paths with the fewest edges the one with the least summed distance between
+    the ``positions (id, vector)`` of its nodes, of these the smallest.
+
+    A whole level is expanded at once, so an estimate of what is left decides nothing; a pair that is reached is no longer followed,
+    and of the ways to a node only the best is.
+    """
+    at = positions.select(F.col("id"), "vector")
+    e = directed(edges).select("src", "dst").distinct()
+    e = e.join(at.select(F.col("id").alias("src"), F.col("vector").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("vector").alias("b")), "dst")
+    e = cut(e.select("src", "dst", V.l2(F.col("a"), F.col("b")).alias("d")))
+    open_ = pairs.select("start", "target").distinct()
+    level = open_.select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.array().cast("array<double>").alias("distances"), F.lit(0.0).alias("sum")).distinct()
+    seen, out = level.select("start", "node"), None
+    for h in range(max_hops + 1):
+        if h:
+            nxt = level.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("distances", F.array("d")).alias("distances"), (F.col("sum") + F.col("d")).alias("sum"))
+            best = nxt.join(seen, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min(F.struct(F.round("sum", 9).alias("r"), "path", "distances", "sum")).alias("x"))
+            level = cut(best.join(open_.select("start").distinct(), "start", "left_semi").select("start", "node", "x.path", "x.distances", "x.sum"))
+            seen = cut(seen.unionByName(level.select("start", "node")))
+        got = open_.join(level, "start").where("target = node").select("start", "target", F.lit(h).cast("bigint").alias("hops"), "path", "distances")
+        out = got if out is None else out.unionByName(got)
+        open_ = cut(open_.join(got.select("start", "target"), ["start", "target"], "left_anti"))
+        if open_.isEmpty():
+            break
+    return out
+
+
+def strategy(has_target: bool, max_hops: int) -> str:
+    """How a path is looked for: towards a target by distance; far explorations level by level in parallel; others level by level."""
+    return "directed" if has_target else "parallel" if max_hops > 4 else "levels"
+
+
+def planned_paths(pairs: DataFrame, edges: DataFrame, positions: DataFrame | None = None, max_hops: int = 4) -> DataFrame:
+    """``(start, target, hops, path)``: by distance (see :func:`strategy`) where start and target differ and positions are known."""
+    if positions is None:
+        return paths(pairs, edges, max_hops)
+    away = pairs.where("start <> target")
+    return directed_paths(away, edges, positions, max_hops).drop("distances").unionByName(paths(pairs.where("start = target"), edges, 0))
+
+
 def proximity(neighbors: DataFrame) -> DataFrame:
     """Edges of a nearest-neighbour graph from ``(query_id, id, distance)``: weight ``1 / (1 + distance)``; no edge to itself."""
     return neighbors.where("query_id <> id").select(F.col("query_id").alias("subject"), F.lit("near").alias("predicate"), F.col("id").alias("object"), (1.0 / (1.0 + F.col("distance"))).alias("weight"))

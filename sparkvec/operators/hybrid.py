@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.operators import graph, knn, text_search
 
+#: fixed value: the constant of reciprocal rank fusion
 RRF_K = 60
 
 
@@ -63,7 +64,7 @@ def best_of(*lists: DataFrame) -> DataFrame:
 
 
 def auto_alpha(tokens: Column) -> Column:
-    """By the number of the text's terms: fewer than 3 -> 0.3, up to 5 -> 0.5, more -> 0.8."""
+    """By the number of the text's pieces between white space (fixed values): fewer than 3 -> 0.3, up to 5 -> 0.5, more -> 0.8."""
     return F.when(tokens < 3, 0.3).when(tokens <= 5, 0.5).otherwise(0.8)
 
 
@@ -102,3 +103,16 @@ def search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, alph
     if graph_alpha > 0 and edges is not None:
         out = cut(graph.rerank(out, edges, graph_alpha), k)
     return out
+
+
+def pipeline(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, fusion: str = "rrf", alpha: float = 0.5, metric: str = "euclidean", keep: DataFrame | None = None, rerank: Callable[[pd.DataFrame], pd.Series] | None = None, columns: tuple[str, ...] = (), depth: int = 2) -> DataFrame:
+    """Both legs (``depth * k`` each), fused by ``rrf``, ``linear`` (weight ``alpha`` for vectors) or ``cascade`` (texts first), cut to k, and
+    scored anew by ``rerank`` if one is given; ``keep`` restricts both legs before they are cut."""
+    knn.check_k(k)
+    if fusion not in ("rrf", "linear", "cascade"):
+        raise ValueError("fusion must be rrf, linear or cascade")
+    base = vectors if keep is None else vectors.join(keep.select("id").distinct(), "id", "left_semi")
+    dense = knn.batch(queries.where("vector is not null"), base, depth * k, metric).select("query_id", "id", "score")
+    sparse = text_search.bm25(docs, queries.select("query_id", "text"), depth * k, keep).select("query_id", "id", "score")
+    out = rrf(k, dense, sparse) if fusion == "rrf" else linear(k, dense, sparse, alpha) if fusion == "linear" else cascade(k, sparse, dense)
+    return out if rerank is None else cut(reranked(out, rerank, list(columns)), k)

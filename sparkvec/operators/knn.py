@@ -1,9 +1,10 @@
 """Exact nearest neighbours of given query vectors, in blocks.
 
-The query side is collected in blocks of at most ``BLOCK`` queries (a documented bound, about 8 MB at 256 dimensions) and goes to
-every task with the code; each task keeps its k best for each query while its rows stream through, so what is shuffled is tasks x
-queries x k triples, never rows x queries. Filters belong before the search: they are pushed down to the scan. Distances are
-doubles; candidates are found by a matrix product and measured again by differences.
+The query side is read in blocks of at most ``BLOCK_BYTES`` of vectors (a documented bound; 64,000 queries of 64 dimensions), each of
+which goes to every task with the code; a task keeps its k best for each query while its rows stream through, so what is shuffled
+is tasks x queries x k triples, never rows x queries, and the rows are read once for each block. Within a task, rows and queries meet
+in a matrix product; what it puts among a query's k best, up to its rounding, is measured again by differences in doubles. Filters belong
+before the search: they are pushed down to the scan.
 
 Results are ``(query_id, id, distance, score, rank)``, ordered by distance, then id. A null or differently sized vector isn't ranked.
 Null ids are ranked like others. An empty side gives no rows.
@@ -12,18 +13,20 @@ Null ids are ranked like others. An empty side gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.functions import vector as V
 
-BLOCK = 4096
+BLOCK_BYTES = 32 << 20
 ROWS = 4096
+QUERIES = 512
+HELD = 1 << 20  # candidates that a task holds before it cuts them to the k best
 
 
 class DimensionError(ValueError):
@@ -32,7 +35,7 @@ class DimensionError(ValueError):
 
 def check_k(k: int) -> None:
     if k < 1:
-        raise ValueError("k must be at least 1")
+        raise ValueError("a search needs k of 1 or more")
 
 
 def check_dimension(vectors: DataFrame, vector_col: str, dim: int) -> DataFrame:
@@ -63,66 +66,118 @@ def _measured(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.where(n == 0, 1.0, 1 - np.divide(p, np.sqrt(n), out=np.zeros_like(p), where=n != 0))
 
 
+def blocks(queries: DataFrame) -> Iterator[list[Row]]:
+    """The rows ``(q, v)`` in blocks of one length of v each, of at most ``BLOCK_BYTES``."""
+    held: dict[int, list[Row]] = {}
+    for r in queries.toLocalIterator():
+        own = held.setdefault(len(r["v"]), [])
+        own.append(r)
+        if len(own) * 8 * max(1, len(r["v"])) >= BLOCK_BYTES:
+            yield held.pop(len(r["v"]))
+    yield from held.values()
+
+
+class Best:
+    """The k smallest values of each query, with their ids; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.limit = k, np.full(queries, np.inf)
+        self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.held = 0
+
+    def candidates(self, d: np.ndarray, first: int, slack: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) places of ``d`` that may be among the best; ``slack`` is the rounding of ``d``."""
+        limit = self.limit[first : first + len(d)]
+        if d.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        return np.nonzero((d <= (limit + slack)[:, None]) & (d < np.inf))
+
+    def add(self, q: np.ndarray, ids: pa.Array, d: np.ndarray) -> None:
+        self.parts.append((q, ids, d))
+        self.held += len(q)
+        if self.held > HELD:
+            self.cut()
+
+    def cut(self) -> None:
+        if not self.parts:
+            self.parts = [(np.zeros(0, np.int64), pa.array([], pa.int64()), np.zeros(0))]
+        q, d = (np.concatenate([p[i] for p in self.parts]) for i in (0, 2))
+        ids = pa.concat_arrays([p[1] for p in self.parts])
+        order = np.lexsort((pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(), d, q))
+        start = np.searchsorted(q[order], np.arange(len(self.limit)))
+        place = np.arange(len(order)) - start[q[order]]
+        kept = order[place < self.k]
+        last = order[place == self.k - 1]
+        self.limit[q[last]] = d[last]
+        self.parts, self.held = [(q[kept], ids.take(pa.array(kept)), d[kept])], len(kept)
+
+    def kept(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        self.cut()
+        return self.parts[0]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            q, ids, d = self.kept()
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), ids, pa.array(d)], names=["n", "id", "distance"])
+
+
+def ranked(found: DataFrame, block: list[Row], queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, distance, rank)``: the best k of what the tasks found for a block."""
+    top = found.withColumn("rank", F.row_number().over(W.partitionBy("n").orderBy("distance", "id")).cast("bigint")).where(F.col("rank") <= k)
+    kind = next(f.dataType.simpleString() for f in queries.schema.fields if f.name == "query_id")
+    names = top.sparkSession.createDataFrame([(i, r["q"]) for i, r in enumerate(block)], f"n int, query_id {kind}")
+    return top.join(F.broadcast(names), "n").select("query_id", "id", "distance", "rank")  # one block's names
+
+
 def batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_id: str = "query_id", query_vector: str = "vector", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The k nearest rows of ``vectors`` for every row of ``queries``."""
     check_k(k)
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
-    rows = queries.select(F.col(query_id).alias("q"), V.doubles(F.col(query_vector)).alias("v")).where("v is not null").toLocalIterator()
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    q_type = queries.schema[query_id].dataType.simpleString()
+    asked = queries.select(F.col(query_id).alias("query_id"), V.doubles(F.col(query_vector)).alias("v")).where("v is not null")
     base = vectors.select(F.col(id_col).alias("id"), V.doubles(F.col(vector_col)).alias("v")).where("v is not null")
+    id_type = dict(base.dtypes)["id"]
     out = None
-    while block := list(islice(rows, BLOCK)):
-        for dim in sorted({len(r["v"]) for r in block}):
-            part = _block([r for r in block if len(r["v"]) == dim], base, k, metric, id_type, q_type)
-            out = part if out is None else out.unionByName(part)
+    for block in blocks(asked.select(F.col("query_id").alias("q"), "v")):
+        part = ranked(_near(block, base, k, metric, id_type), block, asked, k)
+        out = part if out is None else out.unionByName(part)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {q_type}, id {id_type}, distance double, score double, rank bigint")
-    return out
-
-
-def _block(block: list, base: DataFrame, k: int, metric: str, id_type: str, q_type: str) -> DataFrame:
+        return vectors.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, id {id_type}, distance double, score double, rank bigint")
+    return out.select("query_id", "id", "distance", V.score(F.col("distance"), metric).alias("score"), "rank")
+
+
+def near(best: Best, q: np.ndarray, rows: Iterator[tuple[pa.Array, np.ndarray]], metric: str) -> Best:
+    """``best`` after chunks ``(ids, vectors)`` of rows."""
+    size = (q * q).sum(1)
+    for ids, whole in rows:
+        for a in range(0, len(whole), ROWS):
+            x = whole[a : a + ROWS]
+            high = float(np.nan_to_num((x * x).sum(1)).max(initial=0))
+            for i in range(0, len(q), QUERIES):
+                own = q[i : i + QUERIES]
+                d = np.nan_to_num(_distances(x, own, metric), nan=np.inf)  # what isn't a number is nowhere near
+                slack = np.full(len(own), 1e-9) if metric == "cosine" else 1e-9 * (size[i : i + QUERIES] + high + 1e-9)
+                measured, best.limit = best.limit, best.limit**2 if metric == "euclidean" else best.limit  # the product gives squares
+                r, c = best.candidates(d, i, slack)
+                best.limit = measured
+                best.add(i + r, ids.take(pa.array(a + c)), _measured(x[c], own[r], metric))
+    return best
+
+
+def _near(block: list[Row], base: DataFrame, k: int, metric: str, id_type: str) -> DataFrame:
     q = np.array([r["v"] for r in block], np.float64)
-    names = [r["q"] for r in block]
     dim = q.shape[1]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.full((len(q), 0), 0.0)
-        best_id: np.ndarray = np.empty((len(q), 0), object)
-        kind = None
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         for b in batches:
             v = b.column("v")
-            keep = np.flatnonzero(np.asarray(pa.compute.list_value_length(v)) == dim)
-            kind = b.column("id").type
-            for a in range(0, len(keep), ROWS):
-                at = keep[a : a + ROWS]
-                x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                ids = np.array(b.column("id").take(pa.array(at)).to_pylist(), object)
-                n = min(k + 8, len(x))  # a few more than k, so that rounding in the product loses none
-                near = np.argpartition(_distances(x, q, metric), n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-                d = np.concatenate([best_d, np.stack([_measured(x[near[i]], q[i], metric) for i in range(len(q))])], 1)
-                own = np.concatenate([best_id, ids[near]], 1)
-                order = np.argsort(d, 1, kind="stable")
-                # ties at the cut go to the smaller id, so equal distances are ordered by id before it
-                cut = []
-                for i in range(len(q)):
-                    o = order[i]
-                    dist = d[i][o]
-                    if len(o) > k and (dist[k - 1] == dist[min(len(o) - 1, k)] or (np.diff(dist[: k + 1]) == 0).any()):
-                        o = np.array(sorted(o.tolist(), key=lambda j: (d[i][j], own[i][j] is None, own[i][j])))
-                    cut.append(o[:k])
-                idx = np.stack(cut)
-                best_d, best_id = np.take_along_axis(d, idx, 1), np.take_along_axis(own, idx, 1)
-        if best_d.shape[1]:
-            m = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), m).astype(np.int32)), pa.array(best_id.ravel().tolist(), kind), pa.array(best_d.ravel())], names=["n", "id", "distance"])
-
-    found = base.mapInArrow(search, f"n int, id {id_type}, distance double")
-    w = W.partitionBy("n").orderBy("distance", "id")
-    top = found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-    name = top.sparkSession.createDataFrame(list(enumerate(names)), f"n int, query_id {q_type}")
-    return top.join(F.broadcast(name), "n").select("query_id", "id", "distance", V.score(F.col("distance"), metric).alias("score"), "rank")
+            keep = pa.array(np.flatnonzero(pc.list_value_length(v).to_numpy(zero_copy_only=False) == dim))
+            yield b.column("id").take(keep), v.take(keep).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from near(Best(len(q), k), q, chunks(batches), metric).batches()
+
+    return base.mapInArrow(search, f"n int, id {id_type}, distance double")
 
 
 def single(vectors: DataFrame, query: list[float], k: int, metric: str = "euclidean", id_col: str = "id", vector_col: str = "vector") -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.functions import vector as V
+from sparkvec.operators import knn
 
 
 class SchemaError(ValueError):
@@ -81,18 +87,29 @@ def density(rows: DataFrame, tombstones: DataFrame, by: str, id_col: str = "id",
     return d if threshold is None else d.where(F.col("density") < threshold)
 
 
+WORDS = 4  # of 60 bits
+
+
+def _words(text: Column) -> Column:
+    """240 bits of the SHA-256 of a text as four numbers."""
+    h = F.sha2(text, 256)
+    return F.array(*[F.conv(F.substr(h, F.lit(1 + 15 * i), F.lit(15)), 16, 10).cast("bigint") for i in range(WORDS)])
+
+
 def digest_leaves(df: DataFrame, id_col: str = "id", ts: str = "ts", fanout: int = 16, depth: int = 4) -> DataFrame:
-    """``(leaf, digest, rows)``: ids fall into fanout**depth leaves; a leaf's digest is the XOR of its rows' hashes, so it
-    doesn't depend on order and is combined on the map side."""
-    h = F.xxhash64(F.col(id_col).cast("string"), F.col(ts).cast("string"))
-    leaf = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(fanout**depth))
-    return df.groupBy(leaf.alias("leaf")).agg(F.bit_xor(h).alias("digest"), F.count(F.lit(1)).alias("rows"))
+    """``(leaf, digest, rows)``: ids fall into fanout**depth leaves by their SHA-256; a leaf's digest is the SHA-256 of the XOR of its
+    rows' (of id and time in microseconds), so it doesn't depend on order and is combined on the map side."""
+    row = F.concat_ws("|", F.col(id_col).cast("string"), F.unix_micros(F.col(ts).cast("timestamp")).cast("string"))
+    x = df.select((_words(F.col(id_col).cast("string"))[0] % fanout**depth).alias("leaf"), _words(row).alias("w"))
+    sums = x.groupBy("leaf").agg(*[F.bit_xor(F.col("w")[i]).alias(f"x{i}") for i in range(WORDS)], F.count(F.lit(1)).alias("rows"))
+    return sums.select("leaf", F.sha2(F.concat_ws("|", *[F.col(f"x{i}").cast("string") for i in range(WORDS)]), 256).alias("digest"), "rows")
 
 
 def digest_level(leaves: DataFrame, fanout: int = 16) -> DataFrame:
-    """The level above: each parent's digest is the hash of its children's, in order (at most ``fanout`` of them)."""
+    """The level above: each parent's digest is the SHA-256 of its children's, in order (at most ``fanout`` of them)."""
     g = leaves.groupBy(F.floor(F.col("leaf") / fanout).alias("leaf"))
-    return g.agg(F.xxhash64(F.to_json(F.sort_array(F.collect_list(F.struct("leaf", "digest"))))).alias("digest"), F.sum("rows").alias("rows"))
+    children = F.transform(F.sort_array(F.collect_list(F.struct("leaf", "digest"))), lambda c: F.concat_ws(":", c["leaf"].cast("string"), c["digest"]))
+    return g.agg(F.sha2(F.concat_ws("|", children), 256).alias("digest"), F.sum("rows").alias("rows"))
 
 
 def digest_root(df: DataFrame, id_col: str = "id", ts: str = "ts", fanout: int = 16, depth: int = 4) -> DataFrame:
@@ -127,37 +144,48 @@ def quorum(level: str, n: int) -> int:
 def routed(queries: DataFrame, regions: DataFrame, limit: int, slack: float = 1.5) -> DataFrame:
     """``(query_id, owner_id, distance, rank)``: owners of the regions within ``slack`` radii of each query, nearest first, each once.
 
-    ``queries (query_id, vector)`` are a stated set; regions without a usable centroid or radius, or without an owner, are skipped.
+    ``queries (query_id, vector)`` go to the regions' tasks in blocks; regions without a usable centroid or radius, or without an
+    owner, are skipped.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"))
     r = regions.where(F.col("owner_id").isNotNull() & F.col("centroid").isNotNull() & (F.col("radius") > 0) & ~F.isnan("radius"))
-    d = V.l2(F.col("_q"), F.col("centroid"))
-    near = r.join(q, F.size("_q") == F.size("centroid")).withColumn("distance", d).where(F.col("distance") <= slack * F.col("radius").cast("double"))
-    own = near.groupBy("query_id", "owner_id").agg(F.min("distance").alias("distance"))
+    r = r.select("owner_id", F.col("radius").cast("double").alias("radius"), V.doubles(F.col("centroid")).alias("c"))
+    kind = dict(queries.dtypes)["query_id"]
+    out = queries.sparkSession.createDataFrame([], f"query_id {kind}, owner_id string, distance double")
+    for block in knn.blocks(queries.select(F.col("query_id").alias("q"), V.doubles(F.col("vector")).alias("v")).where("v is not null")):
+        q = np.array([x["v"] for x in block], np.float64)
+        names = pa.array([x["q"] for x in block])
+
+        def near(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, names: pa.Array = names) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = pa.array(np.flatnonzero(pc.list_value_length(b.column("c")).to_numpy(zero_copy_only=False) == q.shape[1]))
+                c = b.column("c").take(keep).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                reach, owner = b.column("radius").take(keep).to_numpy() * slack, b.column("owner_id").take(keep)
+                for i in range(0, len(q), 256):
+                    d = np.sqrt(((q[i : i + 256, None, :] - c[None]) ** 2).sum(2))
+                    a, z = np.nonzero(d <= reach[None])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i + a)), owner.take(pa.array(z)), pa.array(d[a, z])], names=["query_id", "owner_id", "distance"])
+
+        out = out.unionByName(r.mapInArrow(near, f"query_id {kind}, owner_id string, distance double"))
+    own = out.groupBy("query_id", "owner_id").agg(F.min("distance").alias("distance"))
     w = W.partitionBy("query_id").orderBy("distance", "owner_id")
     return own.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
 
 
 def ring(nodes: list[str], virtual: int = 64) -> list[tuple[int, str]]:
-    """Points of a consistent-hash ring: ``virtual`` for each node."""
-    import xxhash
-
-    return sorted((xxhash.xxh64(f"{n}#{i}").intdigest() >> 1, n) for n in nodes for i in range(virtual))
+    """Points of a consistent-hash ring: ``virtual`` for each node, at 60 bits of the MD5 of name and number."""
+    return sorted((int(hashlib.md5(f"{n}#{i}".encode()).hexdigest()[:15], 16), n) for n in nodes for i in range(virtual))
 
 
 def owners(df: DataFrame, key: str, nodes: list[str], replicas: int = 1, virtual: int = 64) -> DataFrame:
     """``df`` with ``owners``: the first ``replicas`` distinct nodes clockwise from the key's place on the ring."""
     points = ring(nodes, virtual)
-    prefer = []
-    for i in range(len(points)):
-        seen: list[str] = []
-        for _, n in points[i:] + points[:i]:
-            if n not in seen:
-                seen.append(n)
-            if len(seen) == min(replicas, len(nodes)):
-                break
-        prefer.append(seen)
-    table = F.array(*[F.struct(F.lit(p).cast("bigint").alias("p"), F.array(*[F.lit(x) for x in o]).alias("o")) for (p, _), o in zip(points, prefer, strict=True)])
-    place = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 1)
-    after = F.filter(table, lambda t: t["p"] >= place)
-    return df.withColumn("owners", F.when(F.size(after) > 0, F.get(after, F.lit(0))["o"]).otherwise(F.get(table, F.lit(0))["o"]))
+    names = [n for _, n in points]
+    prefer = [list(dict.fromkeys(names[i:] + names[:i]))[:replicas] for i in range(len(points))]
+    place = F.conv(F.substr(F.md5(F.col(key).cast("string")), F.lit(1), F.lit(15)), 16, 10).cast("bigint")
+
+    @F.pandas_udf("array<string>")
+    def clockwise(at: pd.Series) -> pd.Series:
+        i = np.searchsorted([p for p, _ in points], at.to_numpy(), "left") % len(points)
+        return pd.Series([prefer[x] for x in i], index=at.index)
+
+    return df.withColumn("owners", clockwise(place))

@@ -1,17 +1,22 @@
 """Scalar, binary and product quantization of vectors.
 
-Codes are made by column expressions or in Arrow batches; models are small (per dimension, or M x 256 centroids) and are passed as
-literals. Null vectors stay null.
+Codes are made by column expressions or in Arrow batches. Bounds (two numbers a dimension) are passed as literals, codebooks (M x 256
+centroids) go with the functions that use them. Null vectors stay null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.functions import vector as V
+from sparkvec.operators import knn
 
 WORD = 64
 
@@ -55,6 +60,32 @@ def sq8_code_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("bigint") * (x - y).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
+def sq8_code_cosine(a: Column, b: Column) -> Column:
+    """Cosine distance of raw codes."""
+    return V.cosine(a, b)
+
+
+def sq8_encode_scale(v: Column, lo: float, hi: float) -> Column:
+    """Codes under one scale for all dimensions, as of :func:`sq8_global`; values outside are held at its ends."""
+    span = hi - lo if hi > lo else 1e-7
+    return F.transform(V.doubles(v), lambda x: F.floor((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - lo) * 255.0 / span).cast("int"))
+
+
+def sq8_decode_scale(codes: Column, lo: float, hi: float) -> Column:
+    return F.transform(codes, lambda c: lo + c * (hi - lo) / 255.0)
+
+
+# ---------------------------------------------------------------- plain conversions
+def as_bytes(v: Column) -> Column:
+    """Numbers without their fractions, held within 0 and 255."""
+    return V.integers(v, "uint8")
+
+
+def as_signs(v: Column) -> Column:
+    """One word: bit i says whether the i-th of the first 64 numbers is above 0."""
+    return bq_encode(F.when(F.size(v) >= WORD, v).otherwise(F.concat(V.doubles(v), F.array_repeat(F.lit(0.0), WORD - F.size(v)))), WORD)
+
+
 # ---------------------------------------------------------------- bits
 def bq_encode(v: Column, dim: int) -> Column:
     """Words of 64 bits; bit i of a word says whether its number is above 0."""
@@ -73,6 +104,38 @@ def bq_similarity(a: Column, b: Column, dim: int) -> Column:
     return 1.0 - V.hamming(a, b) / float(dim)
 
 
+def bq_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, hamming, rank)``: the k rows ``(id, code)`` with the fewest differing bits for each of ``(query_id, code)``.
+
+    Queries go to the rows' tasks in blocks; every task keeps its own k best for each query.
+    """
+    parts = []
+    for block in knn.blocks(queries.select(F.col("query_id").alias("q"), F.col("code").alias("v")).where("code is not null")):
+        q = np.array([r["v"] for r in block], np.int64).view(np.uint64)
+
+        def search(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            best = knn.Best(len(q), k)
+            for b in batches:
+                code = b.column("code")
+                keep = np.flatnonzero(np.asarray(pc.list_value_length(code).fill_null(0)) == q.shape[1])
+                for a in range(0, len(keep), knn.ROWS):
+                    at = pa.array(keep[a : a + knn.ROWS])
+                    x = code.take(at).flatten().to_numpy().view(np.uint64).reshape(-1, q.shape[1])
+                    for i in range(0, len(q), knn.QUERIES):
+                        d = np.bitwise_count(q[i : i + knn.QUERIES, None, :] ^ x[None]).sum(2, dtype=np.int64).astype(float)
+                        r, c = best.candidates(d, i, 0.0)
+                        best.add(i + r, b.column("id").take(at).take(pa.array(c)), d[r, c])
+            yield from best.batches()
+
+        parts.append(knn.ranked(rows.select("id", "code").mapInArrow(search, f"n int, id {dict(rows.dtypes)['id']}, distance double"), block, queries, k))
+    if not parts:
+        return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, hamming bigint, rank bigint")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("query_id", "id", F.col("distance").cast("bigint").alias("hamming"), "rank")
+
+
 # ---------------------------------------------------------------- products
 def default_parts(dim: int) -> int:
     return dim // 8 if dim % 8 == 0 else dim // 4 if dim % 4 == 0 else 1
@@ -132,8 +195,15 @@ def pq_encode(df: DataFrame, vector_col: str, book: np.ndarray, out: str = "code
 
 
 def pq_decode(code: Column, book: np.ndarray) -> Column:
-    table = F.array(*[F.array(*[_lit(c) for c in part]) for part in book.tolist()])
-    return F.flatten(F.transform(code, lambda c, i: F.get(F.get(table, i), c)))
+    @F.pandas_udf("array<double>")
+    def decode(s: pd.Series) -> pd.Series:
+        keep = s.map(lambda c: c is not None)
+        c = np.array(s[keep].tolist(), int).reshape(-1, len(book))
+        r = pd.Series([None] * len(s), index=s.index, dtype=object)
+        r[keep] = pd.Series(list(book[np.arange(len(book)), c].reshape(len(c), -1)), index=s.index[keep], dtype=object)
+        return r
+
+    return decode(code)
 
 
 def save_book(spark: SparkSession, book: np.ndarray, path: str) -> None:
@@ -156,5 +226,14 @@ def adc_table(query: list[float], book: np.ndarray) -> np.ndarray:
 
 def adc_distance(code: Column, table: np.ndarray) -> Column:
     """Root of the sum of the table's entries that the code names."""
-    t = F.array(*[_lit(row) for row in table.tolist()])
-    return F.sqrt(F.aggregate(F.transform(code, lambda c, i: F.get(F.get(t, i), c)), F.lit(0.0), lambda s, x: s + x))
+
+    @F.pandas_udf("double")
+    def measured(s: pd.Series) -> pd.Series:
+        keep = s.map(lambda c: c is not None)
+        c = np.array(s[keep].tolist(), int).reshape(-1, len(table))
+        r = pd.Series(np.full(len(s), np.nan), index=s.index, dtype="Float64")
+        r[:] = None
+        r[keep] = np.sqrt(table[np.arange(len(table)), c].sum(1))
+        return r
+
+    return measured(code)

@@ -122,9 +122,17 @@ def renames(new: DataFrame, gone: DataFrame, batch_rows: DataFrame, share: float
     equal = x.join(y, ["dataset_name", "v", "rec", "value"]).groupBy(*pair).agg(F.countDistinct("rec").alias("eq"))
     compared = x.drop("value").distinct().join(y.drop("value").distinct(), ["dataset_name", "v", "rec"]).groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
     good = equal.join(compared, pair).where(F.col("eq") >= share * F.col("n"))
+    left, out = cut(good), None
     rank = lambda c, other: F.row_number().over(W.partitionBy("dataset_name", "v", c).orderBy(F.desc(F.col("eq") / F.col("n")), F.desc("eq"), other))
-    best = good.withColumn("r1", rank("name", "old_name")).where("r1 = 1").withColumn("r2", rank("old_name", "name")).where("r2 = 1")
-    return cut(best.select(*pair))
+    while True:
+        # pairs that are each other's best; those whose best is taken choose again among the rest
+        best = cut(left.withColumn("r1", rank("name", "old_name")).withColumn("r2", rank("old_name", "name")).where("r1 = 1 and r2 = 1").select(*pair))
+        out = best if out is None else out.unionByName(best)
+        if best.isEmpty():
+            return out
+        left = cut(left.join(best.select("dataset_name", "v", "name"), ["dataset_name", "v", "name"], "left_anti").join(best.select("dataset_name", "v", "old_name"), ["dataset_name", "v", "old_name"], "left_anti"))
+        if left.isEmpty():
+            return out
 
 
 def changes(schema_versions: DataFrame, batch_rows: DataFrame, share: float = RENAME_SHARE) -> DataFrame:

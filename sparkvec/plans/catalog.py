@@ -19,14 +19,22 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
+def adder(queries: dict[str, Query], sql: dict[str, str]) -> Callable[..., Callable[[Query], Query]]:
+    """``query(name, sql)``, which registers a query and its SQL."""
 
-    return add
+    def query(name: str, text: str | None = None) -> Callable[[Query], Query]:
+        def add(f: Query) -> Query:
+            queries[name] = f
+            if text:
+                sql[name] = text
+            return f
+
+        return add
+
+    return query
+
+
+query = adder(QUERIES, SQL)
 
 
 # ---------------------------------------------------------------- change feed and schema drift
@@ -36,9 +44,9 @@ WITH valid AS (
     TRY_CAST(json_extract_string(record_json, '$.id') AS DECIMAL(38, 6)) AS rid
   FROM wal_entries WHERE seq IS NOT NULL AND record_json IS NOT NULL AND json_valid(record_json)
 ), one AS (
-  SELECT dataset_name, seq, arg_max(struct_pack(op, rid), struct_pack(t := coalesce(entry_ts, -1), s := segment_no, op)) AS e FROM valid GROUP BY ALL
+  SELECT dataset_name, seq, arg_max(struct_pack(op, rid, record_json), struct_pack(t := coalesce(entry_ts, -1), s := segment_no, op)) AS e FROM valid GROUP BY ALL
 ), e AS (
-  SELECT dataset_name, seq, e.rid::BIGINT AS rec_id,
+  SELECT dataset_name, seq, e.rid::BIGINT AS rec_id, e.record_json AS record,
     CASE WHEN e.op IN ('insert', 'put') THEN 'I' WHEN e.op IN ('update', 'patch') THEN 'U' WHEN e.op IN ('delete', 'tombstone') THEN 'D' END AS kind
   FROM one WHERE e.rid IS NOT NULL AND e.rid = floor(e.rid)
 ), last AS (
@@ -46,6 +54,11 @@ WITH valid AS (
 )
 SELECT dataset_name, rec_id, greatest(i, u) AS seq FROM last WHERE i IS NOT NULL AND (d IS NULL OR i > d)
 """
+P2_FIELDS_SQL = P2_SQL.split("SELECT dataset_name, rec_id, greatest(i, u)")[0] + """, alive AS (SELECT dataset_name, rec_id, greatest(i, u) AS seq, i AS born FROM last WHERE i IS NOT NULL AND (d IS NULL OR i > d)
+), f AS (SELECT a.dataset_name, a.rec_id, a.seq, e.seq AS nr, unnest(json_keys(e.record)) AS field, e.record FROM alive a JOIN e ON e.dataset_name IS NOT DISTINCT FROM a.dataset_name AND e.rec_id = a.rec_id AND e.seq >= a.born AND e.kind IN ('I', 'U')
+), l AS (SELECT dataset_name, rec_id, seq, field, arg_max(coalesce(json_extract_string(record, '$."' || field || '"'), ''), nr) AS value FROM f GROUP BY ALL)
+SELECT dataset_name, rec_id, seq, count(*) AS n_fields, nullif(max(value) FILTER (field = 'category'), '') AS category, round(TRY_CAST(max(value) FILTER (field = 'score') AS DOUBLE), 4) AS score FROM l GROUP BY ALL
+"""
 
 P3_SQL = """
 WITH given AS (
@@ -92,6 +105,9 @@ def _drift(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 query("p2_found", P2_SQL)(lambda s, d: changefeed.apply_changes(table(s, d, "wal_entries")))
 query("p2_records")(lambda s, d: changefeed.current_records(table(s, d, "wal_entries")))
+query("p2_fields", P2_FIELDS_SQL)(
+    lambda s, d: changefeed.current_records(table(s, d, "wal_entries")).select("dataset_name", "rec_id", "seq", "n_fields", F.nullif(F.col("record")["category"], F.lit("")).alias("category"), F.round(F.col("record")["score"].try_cast("double"), 4).alias("score"))
+)
 query("p3_found", P3_SQL)(lambda s, d: schema_drift.changes(*_drift(s, d)).drop("detail"))
 query("p3_unified")(lambda s, d: schema_drift.unified(*_drift(s, d)))
 query("p3_alternatives")(lambda s, d: schema_drift.alternatives(*_drift(s, d), table(s, d, "column_metadata")))
@@ -116,24 +132,16 @@ QUERIES["filter_not"] = lambda s, d: filters.apply(table(s, d, "lineitem").withC
 _filtered("filter_nested", "lineitem", LI, "(l_returnflag = 'A' AND NOT (l_quantity < 10 OR l_linenumber = 2)) OR l_tax = 0.08", either(both(leaf("l_returnflag", "=", "A"), negated(either(leaf("l_quantity", "<", 10), leaf("l_linenumber", "=", 2)))), leaf("l_tax", "=", 0.08)))
 _filtered("filter_in", "orders", "o_orderkey, o_orderstatus", "o_orderstatus IN ('F', 'P')", leaf("o_orderstatus", "IN", "F, P"))
 _filtered("filter_not_in", "part", "p_partkey, p_size", "p_size NOT IN (1, 5, 7)", leaf("p_size", "not in", "1,5,x,7"))
-_filtered("filter_contains", "part", "p_partkey, p_type", "contains(p_type, 'BRASS')", leaf("p_type", "LIKE", "BRASS"))
+_filtered("filter_contains", "part", "p_partkey, p_type", "contains(p_type, 'SMALL') OR contains(p_type, 'ON')", either(leaf("p_type", "LIKE", "SMALL"), leaf("p_type", "contains", "ON")))
 _filtered("filter_timestamp", "events", "event_id, user_id", "ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00'", leaf("ts", ">=", "2024-01-10T00:00:00Z"), leaf("ts", "<", "2024-01-20T12:00:00Z"))
 _filtered("filter_unknown_field", "events", "event_id, user_id", "event_type = 'click'", leaf("no_such", "=", "1"), leaf("event_type", "=", "click"))
 
+_filtered("filter_bool", "lineitem", LI, "(l_quantity > 40) = true", leaf("big", "=", "true"))
+QUERIES["filter_bool"] = lambda s, d: filters.apply(table(s, d, "lineitem").withColumn("big", F.col("l_quantity") > 40), [leaf("big", "=", "true")]).select(*LI.split(", "))
+query("filter_float32", "SELECT vec_id FROM embeddings WHERE embedding[1] > 0.1::FLOAT AND embedding[2] <= 0.25::FLOAT")(
+    lambda s, d: filters.apply(table(s, d, "embeddings").select("vec_id", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b")), [leaf("a", ">", 0.1), leaf("b", "<=", "0.25")]).select("vec_id")
+)
 query("scan_limit_ordered", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda s, d: table(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice"))
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
-COUNTS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES)
-
-
-def _counts(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for t in TABLES:
-        x = table(s, d, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("name"), "rows")
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
-query("list_datasets_rows_gt", f"SELECT * FROM ({COUNTS_SQL}) WHERE rows > 1000 AND contains(name, 'e')")(lambda s, d: filters.apply(_counts(s, d), [leaf("rows", ">", 1000), leaf("name", "contains", "e")]))
 query("tombstone_scan", "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE value < 10)")(
     lambda s, d: lifecycle.without_deleted(table(s, d, "events"), table(s, d, "events").where("value < 10").select("event_id"), "event_id").select("event_id", "user_id")
 )
@@ -177,7 +185,34 @@ query("knn_bitmap", knn_sql(rows="vec_id IN (SELECT doc_id FROM documents WHERE
 )
 query("knn_by_id", knn_sql(k=5))(lambda s, d: _rounded(knn.by_id(_emb(s, d), _emb(s, d).where("id % 100 = 0").select("id"), 5)))
 query("tombstone_knn", knn_sql(rows="label <> 3"))(lambda s, d: _rounded(knn.batch(_asked(_emb(s, d)), lifecycle.without_deleted(_emb(s, d), _emb(s, d).where("label = 3").select("id")), 10)))
-query("knn_complex_interleaved", knn_sql(vec="embedding::DOUBLE[]", k=7))(lambda s, d: _rounded(knn.batch(_asked(_emb(s, d)), _emb(s, d), 7)))
+COMPLEX_SQL = """SELECT a.vec_id AS id, round(list_distance(a.v, b.v), 6) AS distance, round(list_sum(list_transform(list_zip(a.v, b.v, range(64)), lambda z: CASE WHEN z[3] % 2 = 0 THEN z[1] * z[2] ELSE -z[1] * z[2] END)), 6) AS dot_real
+FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) b"""
+
+
+def _complex(s: SparkSession, d: str) -> DataFrame:
+    e = _emb(s, d).withColumn("q", _emb(s, d).where("id = 0").select("vector").scalar())
+    return e.select("id", V.complex_l2(F.col("vector"), F.col("q")).alias("distance"), F.round(V.complex_dot_real(F.col("vector"), F.col("q")), 6).alias("dot_real"))
+
+
+query("complex_functions", COMPLEX_SQL)(lambda s, d: _complex(s, d).withColumn("distance", F.round("distance", 6)))
+query("knn_complex_interleaved", f"SELECT * FROM ({COMPLEX_SQL}) ORDER BY distance, id LIMIT 7")(lambda s, d: _complex(s, d).orderBy("distance", "id").limit(7).withColumn("distance", F.round("distance", 6)))
+query("knn_single", "SELECT a.vec_id AS id, round(list_distance(a.v, b.v), 6) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) b ORDER BY distance, id LIMIT 12")(
+    lambda s, d: knn.single(_emb(s, d), list(_emb(s, d).where("id = 0").first()["vector"]), 12).select("id", F.round("distance", 6).alias("distance"))
+)
+query("knn_merge_scores", knn_sql("dot_product").replace("SELECT query_id, id, round(distance, 6) AS distance, round(-distance, 6) AS score, rank", "SELECT query_id, id, round(-distance, 6) AS score, rank"))(
+    lambda s, d: knn.merged(10, *[knn.batch(_asked(_emb(s, d)), _emb(s, d).where(F.pmod(F.xxhash64("id"), F.lit(3)) == i), 10, "dot_product") for i in range(3)], by="score", descending=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+)
+query("knn_zero_norm", knn_sql("cosine", vec="list_transform(embedding::DOUBLE[], lambda x: CASE WHEN label = 3 THEN 0 ELSE x END)").replace("list_cosine_distance(q.v, r.v)", "CASE WHEN list_sum(q.v) = 0 AND list_max(q.v) = 0 OR list_max(r.v) = 0 AND list_min(r.v) = 0 THEN 1 ELSE list_cosine_distance(q.v, r.v) END"))(
+    lambda s, d: (lambda e: _rounded(knn.batch(_asked(e), e, 10, "cosine")))(_emb(s, d).withColumn("vector", F.transform("vector", lambda x: F.when(F.col("label") == 3, 0.0).otherwise(x))))
+)
+for _kind, _hi, _lo in (("int16", 32767, -32768), ("uint8", 255, 0), ("int32", 2**31 - 1, -(2**31))):
+    query(f"vector_as_{_kind}", f"SELECT vec_id AS id, list_sum(list_transform(embedding::DOUBLE[], lambda x: least(greatest(trunc(x * 100000), {_lo}), {_hi})))::BIGINT AS total FROM embeddings")(
+        lambda s, d, kind=_kind: _emb(s, d).select("id", F.aggregate(V.integers(F.transform("vector", lambda x: x * 100000), kind), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    )
+query("vector_as_float16")(lambda s, d: _emb(s, d).select("id", F.round(V.l2(F.col("vector"), V.half(F.col("vector"))), 6).alias("error")))
+query("recall_of_shard", f"WITH f AS ({knn_sql(rows='vec_id % 2 = 0')}), e AS ({knn_sql()}) SELECT e.query_id, round(avg((f.id IS NOT NULL)::INT), 6) AS recall FROM e LEFT JOIN f ON e.query_id = f.query_id AND e.id = f.id GROUP BY e.query_id")(
+    lambda s, d: knn.recall(knn.batch(_asked(_emb(s, d)), _emb(s, d).where("id % 2 = 0"), 10), knn.batch(_asked(_emb(s, d)), _emb(s, d), 10)).select("query_id", F.round("recall", 6).alias("recall"))
+)
 INT8 = "list_transform(embedding::DOUBLE[], lambda x: CAST(floor(x * 127 + 0.5) AS DOUBLE))"
 query("knn_int8_cast", knn_sql(vec=INT8))(
     lambda s, d: (lambda e: _rounded(knn.batch(_asked(e), e, 10)))(_emb(s, d).withColumn("vector", F.transform("vector", lambda x: F.floor(x * 127 + 0.5).cast("tinyint"))))
@@ -214,10 +249,8 @@ SELECT id, sum(q)::BIGINT AS code_sum, round(sqrt(sum((x - (lo + q * (hi - lo) /
 
 
 def _bq(s: SparkSession, d: str) -> DataFrame:
-    e = _emb(s, d).withColumn("code", quantize.bq_encode(F.col("vector"), 64))
-    q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("code").alias("q"))
-    h = e.join(F.broadcast(q)).select("query_id", "id", V.hamming(F.col("q"), F.col("code")).alias("hamming"))
-    return knn.merged(10, h, by="hamming")
+    e = _emb(s, d).select("id", quantize.bq_encode(F.col("vector"), 64).alias("code"))
+    return quantize.bq_search(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "code"), e, 10)
 
 
 query("bq_hamming_knn", """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
@@ -228,18 +261,58 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, id) A
 def _adc(s: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
-    rows = sorted(_emb(s, d).where("id < 4").select("id", "vector").collect())  # the codebook: four stored vectors
+    rows = sorted(_emb(s, d).where("id % 100 = 0").select("id", "vector").collect())  # the codebook: the stated set
     book = np.array([r["vector"] for r in rows]).reshape(len(rows), 8, 8).transpose(1, 0, 2)
     code = quantize.pq_encode(_emb(s, d), "vector", book)
     return code.select("id", F.round(quantize.adc_distance(F.col("code"), quantize.adc_table(rows[0]["vector"], book)), 6).alias("distance"))
 
 
 query("adc_fixed_codebook", """WITH parts AS (SELECT vec_id AS id, p, list_slice(embedding::DOUBLE[], p * 8 + 1, p * 8 + 8) AS v FROM embeddings, range(8) t(p)),
-book AS (SELECT * FROM parts WHERE id < 4),
+book AS (SELECT * FROM parts WHERE id % 100 = 0),
 c AS (SELECT a.id, a.p, arg_min(b.id, struct_pack(d := round(list_distance(a.v, b.v) ** 2, 9), i := b.id)) AS c FROM parts a JOIN book b ON a.p = b.p GROUP BY a.id, a.p),
 t AS (SELECT b.p, b.id AS c, list_distance(b.v, q.v) ** 2 AS d FROM book b JOIN parts q ON q.p = b.p AND q.id = 0)
 SELECT c.id, round(sqrt(sum(t.d)), 6) AS distance FROM c JOIN t ON t.p = c.p AND t.c = c.c GROUP BY c.id""")(_adc)
 
+SIGNS = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
+query("bq_decode", f"SELECT vec_id AS id, list_sum({SIGNS})::BIGINT AS total, round(1 - list_sum(list_transform(list_zip({SIGNS}, (SELECT {SIGNS} FROM embeddings WHERE vec_id = 0)), lambda z: (z[1] <> z[2])::INT)) / 64.0::DOUBLE, 6) AS similarity FROM embeddings")(
+    lambda s, d: (lambda e, q: e.withColumn("q", q).select("id", F.aggregate(quantize.bq_decode(F.col("code"), 64), F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("total"), F.round(quantize.bq_similarity(F.col("code"), F.col("q"), 64), 6).alias("similarity")))(
+        *(lambda e: (e, e.where("id = 0").select("code").scalar()))(_emb(s, d).select("id", quantize.bq_encode(F.col("vector"), 64).alias("code")))
+    )
+)
+query("sign_words", f"SELECT vec_id AS id, list_sum(list_transform({SIGNS}, lambda x: (x > 0)::INT))::BIGINT AS ones FROM embeddings")(lambda s, d: _emb(s, d).select("id", F.bit_count(quantize.as_signs(F.col("vector"))[0]).cast("bigint").alias("ones")))
+query("byte_vectors", "SELECT vec_id AS id, list_sum(list_transform(embedding::DOUBLE[], lambda x: trunc(least(greatest(x * 1000, 0), 255))))::BIGINT AS total FROM embeddings")(
+    lambda s, d: _emb(s, d).select("id", F.aggregate(quantize.as_bytes(F.transform("vector", lambda x: x * 1000)), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+)
+SCALE = "b AS (SELECT min(list_min(embedding::DOUBLE[])) AS lo, max(list_max(embedding::DOUBLE[])) AS hi FROM embeddings), c AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: floor((x - lo) * 255.0::DOUBLE / (hi - lo))) AS code, lo, hi, embedding::DOUBLE[] AS v FROM embeddings, b)"
+
+
+def _scale(s: SparkSession, d: str) -> tuple[DataFrame, float, float]:
+    lo, hi = quantize.sq8_global(_emb(s, d), "vector").first()
+    return _emb(s, d).withColumn("code", quantize.sq8_encode_scale(F.col("vector"), lo, hi)), lo, hi
+
+
+query("sq8_one_scale", f"WITH {SCALE} SELECT id, list_sum(code)::BIGINT AS code_sum, round(list_distance(v, list_transform(code, lambda q: lo + q * (hi - lo) / 255.0::DOUBLE)), 6) AS error FROM c")(
+    lambda s, d: (lambda c, lo, hi: c.select("id", F.aggregate("code", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("code_sum"), F.round(V.l2(F.col("vector"), quantize.sq8_decode_scale(F.col("code"), lo, hi)), 6).alias("error")))(*_scale(s, d))
+)
+query("sq8_code_distances", f"WITH {SCALE}, q AS (SELECT code AS q FROM c WHERE id = 0) SELECT id, round(list_distance(code, q) ** 2)::BIGINT AS l2_squared, round(list_cosine_distance(code, q), 6) AS cosine FROM c, q")(
+    lambda s, d: (lambda c: c.withColumn("q", c.where("id = 0").select("code").scalar()).select("id", quantize.sq8_code_l2(F.col("code"), F.col("q")).alias("l2_squared"), F.round(quantize.sq8_code_cosine(F.col("code"), F.col("q")), 6).alias("cosine")))(_scale(s, d)[0])
+)
+query("sq8_knn", f"WITH {SCALE}, d AS (SELECT q.id AS query_id, r.id, list_distance(q.code, r.code) AS distance FROM c q, c r WHERE q.id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM d) SELECT query_id, id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score, rank FROM n WHERE rank <= 10")(
+    lambda s, d: (lambda c: _rounded(knn.batch(c.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("code").alias("vector")), c.select("id", F.col("code").alias("vector")), 10)))(_scale(s, d)[0])
+)
+
+
+def _pq(s: SparkSession, d: str) -> DataFrame:
+    e = _emb(s, d)
+    book = quantize.pq_train(e, "vector", 8, 64)
+    c = quantize.pq_encode(e, "vector", book)
+    near = V.l2(F.col("vector"), quantize.pq_decode(F.col("code"), book))
+    own = c.select("id", F.round(near, 6).alias("error"), (near <= 0.8 * V.l2(F.col("vector"), F.transform("vector", lambda x: x * 0))).alias("near"))
+    return own.select("id", F.col("error").isNotNull().alias("decoded"), "near")
+
+
+query("pq_train_decode", "SELECT vec_id AS id, true AS decoded, true AS near FROM embeddings")(_pq)
+
 # ---------------------------------------------------------------- keyword search
 TOK = "list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: trim(x, '.,!?;:()[]{}''\"><')), lambda x: x <> '')"
 DOCS = f"docs AS (SELECT doc_id AS id, {TOK} AS terms FROM documents WHERE text IS NOT NULL), d AS (SELECT *, len(terms) AS len FROM docs WHERE len(terms) > 0), tot AS (SELECT count(*) AS n, avg(len) AS avgdl FROM d)"
@@ -278,13 +351,13 @@ query("tf_topk", _ranked_sql("times * tf / len"))(lambda s, d: _short(text_searc
 query("tfidf_topk", _ranked_sql(f"(1 + ln(tf)) * (1 + {IDF})"))(lambda s, d: _short(text_search.tf_idf(_docs(s, d), _asks(s, d), 10)))
 
 # ---------------------------------------------------------------- fusion
-LEGS = """dense AS (SELECT query_id, id, -distance::DOUBLE AS score FROM search_results WHERE query_id % 100 = 0 AND distance IS NOT NULL AND NOT isnan(distance)),
+LEGS = """dense AS (SELECT query_id, id, -distance::DOUBLE AS score FROM search_results WHERE distance IS NOT NULL AND NOT isnan(distance)),
 dn AS (SELECT query_id, id, max(score) AS score FROM dense GROUP BY ALL),
-sp AS (SELECT query_id, id, max(text_score) AS score FROM search_results WHERE query_id % 100 = 0 AND text_score IS NOT NULL AND NOT isnan(text_score) GROUP BY ALL)"""
+sp AS (SELECT query_id, id, max(text_score) AS score FROM search_results WHERE text_score IS NOT NULL AND NOT isnan(text_score) GROUP BY ALL)"""
 
 
 def _legs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = table(s, d, "search_results").where("query_id % 100 = 0")
+    r = table(s, d, "search_results")
     dense = r.where("distance is not null and not isnan(distance)").select("query_id", "id", (-F.col("distance").cast("double")).alias("score"))
     sparse = r.where("text_score is not null and not isnan(text_score)").select("query_id", "id", F.col("text_score").alias("score"))
     return hybrid.best_of(dense), hybrid.best_of(sparse)
@@ -300,14 +373,14 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, score D
     lambda s, d: _short(hybrid.cascade(10, _legs(s, d)[1], _legs(s, d)[0], table(s, d, "vectors").where("id % 3 <> 0").select("id").unionByName(table(s, d, "search_results").where("id % 3 <> 0").select("id"))))
 )
 query("dedupe_max", f"WITH {LEGS} SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT * FROM dn UNION ALL SELECT * FROM sp) GROUP BY ALL")(lambda s, d: hybrid.best_of(*_legs(s, d)).select("query_id", "id", F.round("score", 6).alias("score")))
-query("auto_alpha", f"WITH q AS (SELECT DISTINCT query_id, len({TOK}) AS n FROM (SELECT query_id, text_query AS text FROM search_requests WHERE text_query IS NOT NULL)) SELECT query_id, CASE WHEN n < 3 THEN 0.3::DOUBLE WHEN n <= 5 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS alpha FROM q")(
-    lambda s, d: table(s, d, "search_requests").where("text_query is not null").select("query_id", hybrid.auto_alpha(F.size(T.tokenize(F.col("text_query")))).alias("alpha")).distinct()
+query("auto_alpha", "WITH q AS (SELECT DISTINCT query_id, len(list_filter(string_split_regex(text_query, '\\s+'), lambda x: x <> '')) AS n FROM search_requests WHERE text_query IS NOT NULL) SELECT query_id, CASE WHEN n < 3 THEN 0.3::DOUBLE WHEN n <= 5 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS alpha FROM q")(
+    lambda s, d: table(s, d, "search_requests").where("text_query is not null").select("query_id", hybrid.auto_alpha(T.fields(F.col("text_query"))).alias("alpha")).distinct()
 )
 
 
 def _hybrid(s: SparkSession, d: str, alpha: float, keep: DataFrame | None = None) -> DataFrame:
     e = _emb(s, d)
-    q = e.where("id % 100 = 0").join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select(F.col("id").alias("query_id"), "vector", F.substring_index("text", " ", 6).alias("text"))
+    q = e.where("id % 100 = 0").join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select(F.col("id").alias("query_id"), "vector", "text")
     return _short(hybrid.search(q, e, _docs(s, d), 10, alpha, keep=keep))
 
 
@@ -315,7 +388,7 @@ def _hybrid_sql(alpha: float, rows: str = "TRUE", docs: str = "TRUE") -> str:
     n = 10 if alpha in (0, 1) else 20
     dense = f"SELECT query_id, id, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT query_id FROM ask) AND e.vec_id IN (SELECT vec_id FROM embeddings WHERE {rows})) QUALIFY r <= {n}"
     sparse = f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM (SELECT query_id, id, sum({BM}) AS score FROM post JOIN df USING (term) JOIN (SELECT DISTINCT query_id, term FROM qt) USING (term), tot WHERE {docs} GROUP BY ALL) QUALIFY r <= {n}"
-    ask = ASK.replace("SELECT DISTINCT query_id, text_query AS text FROM search_requests WHERE query_id % 100 = 0 AND text_query IS NOT NULL", "SELECT vec_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0")
+    ask = ASK.replace("SELECT DISTINCT query_id, text_query AS text FROM search_requests WHERE query_id % 100 = 0 AND text_query IS NOT NULL", "SELECT vec_id AS query_id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0")
     fused = {1: "SELECT query_id, id, score FROM dn", 0: "SELECT query_id, id, score FROM sp"}.get(alpha, "SELECT query_id, id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM dn UNION ALL SELECT * FROM sp) GROUP BY ALL")
     return f"WITH {DOCS}, {ask}, {POST}, dn AS ({dense}), sp AS ({sparse}), f AS ({fused}) {CUT.format(t='f')}"
 
@@ -386,28 +459,44 @@ SELECT query_id, id, round(sum(s), 6) AS score FROM (SELECT query_id, id, 0.4 *
 
 def _pagerank_sql(rounds: int) -> str:
     steps = ", ".join(
-        f"r{i} AS (SELECT v.node, 0.15 / n.n + 0.85 * (coalesce((SELECT sum(rank) FROM r{i - 1} WHERE node NOT IN (SELECT subject FROM e)), 0) / n.n + coalesce(f.flow, 0)) AS rank FROM v CROSS JOIN n LEFT JOIN (SELECT object, sum(rank / deg) AS flow FROM e JOIN r{i - 1} ON node = subject JOIN g USING (subject) GROUP BY object) f ON f.object = v.node)"
+        f"r{i} AS MATERIALIZED (SELECT v.node, 0.15 / n.n + 0.85 * (coalesce((SELECT sum(rank) FROM r{i - 1} WHERE node NOT IN (SELECT subject FROM e)), 0) / n.n + coalesce(f.flow, 0)) AS rank FROM v CROSS JOIN n LEFT JOIN (SELECT object, sum(rank / deg) AS flow FROM e JOIN r{i - 1} ON node = subject JOIN g USING (subject) GROUP BY object) f ON f.object = v.node)"
         for i in range(1, rounds + 1)
     )
     return f"WITH {EDGES}, v AS (SELECT DISTINCT node FROM (SELECT subject AS node FROM e UNION ALL SELECT object FROM e)), n AS (SELECT count(*)::DOUBLE AS n FROM v), g AS (SELECT subject, count(*) AS deg FROM e GROUP BY ALL), r0 AS (SELECT node, 1 / n.n AS rank FROM v, n), {steps} SELECT node, round(rank, 9) AS rank FROM r{rounds}"
 
 
-query("pagerank_k", _pagerank_sql(4))(lambda s, d: graph.pagerank(_edges(s, d), iterations=4, tolerance=0).select("node", F.round("rank", 9).alias("rank")))
+query("pagerank_k", _pagerank_sql(20))(lambda s, d: graph.pagerank(_edges(s, d), iterations=20, tolerance=0).select("node", F.round("rank", 9).alias("rank")))
 
 
 def _lpa_sql(rounds: int) -> str:
-    steps = ", ".join(f"b{i} AS (SELECT subject AS node, arg_max(label, struct_pack(n := n, l := label)) AS label FROM (SELECT e.subject, x.label, count(*) AS n FROM e JOIN a{i - 1} x ON x.node = e.object GROUP BY ALL) GROUP BY subject), a{i} AS (SELECT p.node, coalesce(b.label, p.label) AS label FROM a{i - 1} p LEFT JOIN b{i} b USING (node))" for i in range(1, rounds + 1))
+    steps = ", ".join(f"b{i} AS MATERIALIZED (SELECT subject AS node, arg_max(label, struct_pack(n := n, l := label)) AS label FROM (SELECT e.subject, x.label, count(*) AS n FROM e JOIN a{i - 1} x ON x.node = e.object GROUP BY ALL) GROUP BY subject), a{i} AS MATERIALIZED (SELECT p.node, coalesce(b.label, p.label) AS label FROM a{i - 1} p LEFT JOIN b{i} b USING (node))" for i in range(1, rounds + 1))
     return f"WITH {NEAR}, a0 AS (SELECT DISTINCT subject AS node, subject AS label FROM e), {steps} SELECT node, label FROM a{rounds}"
 
 
-query("lpa_k", _lpa_sql(4))(lambda s, d: graph.label_propagation(_near(s, d), 4))
-query("components", f"WITH {EDGES} SELECT DISTINCT node, (SELECT min(subject) FROM e) AS component FROM (SELECT subject AS node FROM e UNION ALL SELECT object FROM e)")(lambda s, d: graph.components(_edges(s, d)))
-query("bfs_path_hops", f"""WITH {NEAR}, p AS (SELECT s.vec_id AS start, t.vec_id AS target FROM embeddings s, embeddings t WHERE s.vec_id % 100 = 0 AND t.vec_id % 100 = 50),
-l0 AS (SELECT DISTINCT start, start AS node FROM p), l1 AS (SELECT DISTINCT start, object AS node FROM l0 JOIN e ON subject = node), l2 AS (SELECT DISTINCT start, object AS node FROM l1 JOIN e ON subject = node), l3 AS (SELECT DISTINCT start, object AS node FROM l2 JOIN e ON subject = node), l4 AS (SELECT DISTINCT start, object AS node FROM l3 JOIN e ON subject = node),
-a AS (SELECT *, 0 AS h FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3 UNION ALL SELECT *, 4 FROM l4)
-SELECT p.start, p.target, min(h)::BIGINT AS hops FROM p JOIN a ON a.start = p.start AND a.node = p.target GROUP BY ALL""")(
-    lambda s, d: (lambda e: graph.paths(e.where("id % 100 = 0").select(F.col("id").alias("start")).join(e.where("id % 100 = 50").select(F.col("id").alias("target"))), _near(s, d), 4).select("start", "target", "hops"))(_emb(s, d))
+query("lpa_k", _lpa_sql(10))(lambda s, d: graph.label_propagation(_near(s, d), 10))
+query("components", "SELECT event_id AS node, min(event_id) OVER (PARTITION BY event_id % 9) AS component FROM events")(
+    lambda s, d: (lambda e: graph.components(e.join(e.select(F.col("subject").alias("object")), F.col("subject") + 9 == F.col("object")).withColumn("predicate", F.lit("next")).withColumn("weight", F.lit(1.0))))(table(s, d, "events").select(F.col("event_id").alias("subject")))
+)
+WALKS = f"""WITH {NEAR}, p AS (SELECT s.vec_id AS start, t.vec_id AS target FROM embeddings s JOIN embeddings t ON t.vec_id = s.vec_id + 50 WHERE s.vec_id % 100 = 0),
+l0 AS (SELECT DISTINCT start, start AS node, [start] AS path, 0.0::DOUBLE AS d FROM p), {", ".join(f"l{h} AS (SELECT start, object AS node, list_append(path, object) AS path, d + (1 / weight - 1) AS d FROM l{h - 1} JOIN e ON subject = node)" for h in range(1, 5))},
+a AS ({" UNION ALL ".join(f"SELECT *, {h}::BIGINT AS h FROM l{h}" for h in range(5))})
+"""
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    e = _emb(s, d)
+    return e.where("id % 100 = 0").select(F.col("id").alias("start"), (F.col("id") + 50).alias("target")).join(e.select(F.col("id").alias("target")), "target")
+
+
+query("bfs_path_hops", WALKS + "SELECT p.start, p.target, min(h) AS hops FROM p JOIN a ON a.start = p.start AND a.node = p.target GROUP BY ALL")(lambda s, d: graph.paths(_pairs(s, d), _near(s, d), 4).select("start", "target", "hops"))
+query("bfs_path", WALKS + "SELECT p.start, p.target, array_to_string(arg_min(path, struct_pack(h, path)), '>') AS path FROM p JOIN a ON a.start = p.start AND a.node = p.target GROUP BY ALL")(lambda s, d: graph.paths(_pairs(s, d), _near(s, d), 4).select("start", "target", F.array_join("path", ">").alias("path")))
+query("directed_path", WALKS + "SELECT p.start, p.target, min(h) AS hops, array_to_string(arg_min(path, struct_pack(h, d := round(d, 9), path)), '>') AS path, round(arg_min(d, struct_pack(h, d := round(d, 9), path)), 6) AS length FROM p JOIN a ON a.start = p.start AND a.node = p.target GROUP BY ALL")(
+    lambda s, d: graph.directed_paths(_pairs(s, d), _near(s, d), _emb(s, d), 4).select("start", "target", "hops", F.array_join("path", ">").alias("path"), F.round(F.aggregate("distances", F.lit(0.0), lambda a, x: a + x), 6).alias("length"))
 )
+query("planned_path_hops", WALKS + "SELECT p.start, p.target, min(h) AS hops FROM p JOIN a ON a.start = p.start AND a.node = p.target GROUP BY ALL UNION ALL SELECT DISTINCT start, start, 0::BIGINT FROM p")(
+    lambda s, d: (lambda p: graph.planned_paths(p.unionByName(p.select("start", F.col("start").alias("target"))), _near(s, d), _emb(s, d), 4).select("start", "target", "hops"))(_pairs(s, d))
+)
+query("orphans", f"WITH {NEAR} SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT object FROM e)")(lambda s, d: _emb(s, d).select("id").join(_near(s, d).select(F.col("object").alias("id")), "id", "left_anti"))
 
 # ---------------------------------------------------------------- lifecycle
 query("lww_latest", "SELECT user_id, arg_max(event_id, struct_pack(ts, e := -event_id)) AS event_id, arg_max(value, struct_pack(ts, e := -event_id)) AS value FROM events GROUP BY user_id")(lambda s, d: lifecycle.last_writer(table(s, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "value"))
@@ -423,14 +512,31 @@ query("fragmentation_density", "SELECT event_type, count(*) AS size, sum((value
 query("memory_evict_prefix", "WITH c AS (SELECT n_name AS name, sum(length(c_name)) AS bytes, max(c_custkey) AS created FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1), o AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY bytes DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(bytes) OVER () AS t FROM c) SELECT name, bytes::BIGINT AS bytes FROM o WHERE t - b > 10000")(
     lambda s, d: lifecycle.evicted(table(s, d, "customer").join(table(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.sum(F.length("c_name")).alias("bytes"), F.max("c_custkey").alias("created")), 10000, "largest").select("name", "bytes")
 )
-query("digest_leaves")(lambda s, d: lifecycle.digest_leaves(table(s, d, "events"), "event_id"))
-query("digest_root")(lambda s, d: lifecycle.digest_root(table(s, d, "events"), "event_id"))
-query("ring_owners")(lambda s, d: lifecycle.owners(table(s, d, "customer").select("c_custkey"), "c_custkey", ["n1", "n2", "n3", "n4", "n5"], 3))
+WORD = "('0x' || substr(sha256({x}), {at}, 15))::BIGINT"
+XORS = ", ".join(f"bit_xor({WORD.format(x='event_id::VARCHAR || chr(124) || epoch_us(ts)::VARCHAR', at=1 + 15 * i)}) AS x{i}" for i in range(4))
+LEAVES = f"l0 AS (SELECT {WORD.format(x='event_id::VARCHAR', at=1)} % 65536 AS leaf, {XORS}, count(*) AS rows FROM events GROUP BY 1), d0 AS (SELECT leaf, sha256(concat_ws('|', x0, x1, x2, x3)) AS digest, rows FROM l0)"
+UP = ", ".join(f"d{i} AS (SELECT leaf // 16 AS leaf, sha256(string_agg(leaf::VARCHAR || ':' || digest, '|' ORDER BY leaf)) AS digest, sum(rows)::BIGINT AS rows FROM d{i - 1} GROUP BY 1)" for i in range(1, 5))
+query("digest_leaves", f"WITH {LEAVES} SELECT * FROM d0")(lambda s, d: lifecycle.digest_leaves(table(s, d, "events"), "event_id"))
+query("digest_root", f"WITH {LEAVES}, {UP} SELECT digest, rows FROM d4")(lambda s, d: lifecycle.digest_root(table(s, d, "events"), "event_id"))
+query("digest_differing", f"WITH {LEAVES}, gone AS (SELECT DISTINCT {WORD.format(x='event_id::VARCHAR', at=1)} % 65536 AS leaf FROM events WHERE value < 10) SELECT leaf FROM gone")(
+    lambda s, d: (lambda e: lifecycle.differing_leaves(lifecycle.digest_leaves(e, "event_id"), lifecycle.digest_leaves(e.where("value >= 10"), "event_id")))(table(s, d, "events"))
+)
+query("ring_owners", """WITH p AS (SELECT n, ('0x' || substr(md5(n || '#' || i::VARCHAR), 1, 15))::BIGINT AS p FROM unnest(['n1', 'n2', 'n3', 'n4', 'n5']) x(n), range(64) t(i)),
+k AS (SELECT c_custkey, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 15))::BIGINT AS place FROM customer),
+f AS (SELECT c_custkey, n, min(CASE WHEN p >= place THEN p - place ELSE p - place + 1152921504606846976 END) AS way FROM k, p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY way) AS o FROM f QUALIFY o <= 3) SELECT c_custkey, string_agg(n, ',' ORDER BY o) AS owners FROM r GROUP BY c_custkey""")(
+    lambda s, d: lifecycle.owners(table(s, d, "customer").select("c_custkey"), "c_custkey", ["n1", "n2", "n3", "n4", "n5"], 3).withColumn("owners", F.array_join("owners", ","))
+)
 query("region_route", """WITH r AS (SELECT owner_id, centroid::DOUBLE[] AS c, radius::DOUBLE AS radius FROM mesh_regions WHERE owner_id IS NOT NULL AND centroid IS NOT NULL AND len(centroid) = 48 AND radius > 0 AND NOT isnan(radius)),
-q AS (SELECT DISTINCT region_id AS query_id, centroid::DOUBLE[] AS v FROM mesh_regions WHERE region_id % 100 = 0 AND centroid IS NOT NULL AND len(centroid) = 48),
-n AS (SELECT query_id, owner_id, min(list_distance(v, c)) AS distance FROM q, r WHERE list_distance(v, c) <= 1.5 * radius GROUP BY ALL)
+q AS (SELECT id AS query_id, max(vector)::DOUBLE[] AS v FROM vectors WHERE id IS NOT NULL AND len(vector) = 48 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND id % 100 = 0 GROUP BY id),
+n AS (SELECT query_id, owner_id, min(list_distance(v, c)) AS distance FROM q, r WHERE list_distance(v, c) <= 3 * radius GROUP BY ALL)
 SELECT query_id, owner_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), owner_id) AS rank FROM n QUALIFY rank <= 5""")(
-    lambda s, d: (lambda m: lifecycle.routed(m.where("region_id % 100 = 0 and size(centroid) = 48").select(F.col("region_id").alias("query_id"), F.col("centroid").alias("vector")).distinct(), m, 5).select("query_id", "owner_id", F.round("distance", 6).alias("distance"), "rank"))(table(s, d, "mesh_regions"))
+    lambda s, d: (lambda q: lifecycle.routed(q, table(s, d, "mesh_regions"), 5, 3.0).select("query_id", "owner_id", F.round("distance", 6).alias("distance"), "rank"))(
+        table(s, d, "vectors").where("id % 100 = 0 and size(vector) = 48 and forall(vector, x -> x is not null and not isnan(x) and abs(x) <> double('infinity'))").groupBy(F.col("id").alias("query_id")).agg(F.max("vector").alias("vector"))
+    )
+)
+query("evict_lru", "WITH c AS (SELECT user_id::VARCHAR AS name, count(*) * 100 AS bytes, max(ts) AS last_access, min(ts) AS created FROM events GROUP BY 1), o AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY last_access, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, (SELECT sum(bytes) FROM c) AS t FROM c WHERE name <> '7') SELECT name, bytes FROM o WHERE t - b > 20000")(
+    lambda s, d: lifecycle.evicted(table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("name")).agg((F.count(F.lit(1)) * 100).alias("bytes"), F.max("ts").alias("last_access"), F.min("ts").alias("created")), 20000, "lru", "7").select("name", "bytes")
 )
 CLOCKS = "c AS (SELECT user_id, map_from_entries(list((event_type, n))) AS m FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id)"
 query("vector_clock_order", """WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id FROM events),
@@ -441,7 +547,36 @@ SELECT user_id, CASE WHEN min(x) < 0 AND max(x) > 0 THEN 'concurrent' WHEN min(x
     )
 )
 
+query("clock_merge", """WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), z AS (SELECT * FROM n WHERE user_id = 0), u AS (SELECT DISTINCT user_id FROM n),
+m AS (SELECT user_id, event_type, max(n) AS n FROM (SELECT * FROM n UNION ALL SELECT u.user_id, z.event_type, z.n FROM u, z) GROUP BY ALL) SELECT user_id, sum(n)::BIGINT AS total FROM m GROUP BY user_id""")(
+    lambda s, d: (lambda c: c.withColumn("other", c.where("user_id = 0").select("m").scalar()).select("user_id", F.aggregate(F.map_values(lifecycle.clock_merge(F.col("m"), F.coalesce("other", F.create_map().cast("map<string,bigint>")))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")))(
+        table(s, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    )
+)
+
 # ---------------------------------------------------------------- indexes
+query("bitmap_removed", "SELECT event_id AS id FROM events WHERE event_type = 'click' AND NOT user_id < 50")(lambda s, d: (lambda e: indexing.ids(indexing.removed(indexing.bitmap(e.where("event_type = 'click'"), "event_id"), indexing.bitmap(e.where("user_id < 50"), "event_id"))))(table(s, d, "events")))
+query("bitmap_between", "SELECT event_id AS id FROM events WHERE event_type = 'click' AND event_id BETWEEN 100 AND 4000")(lambda s, d: indexing.between(indexing.bitmap(table(s, d, "events").where("event_type = 'click'"), "event_id"), 100, 4000))
+query("bitmap_contains", "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT event_id FROM events WHERE event_type = 'click')")(
+    lambda s, d: (lambda e: indexing.contains(e.select("event_id", "user_id"), indexing.bitmap(e.where("event_type = 'click'"), "event_id"), "user_id"))(table(s, d, "events"))
+)
+query("inverted_removed", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice > 200000")(
+    lambda s, d: (lambda o: indexing.ids(indexing.lookup(indexing.unindexed(indexing.inverted(o, "o_orderkey", "o_orderstatus"), o.where("o_totalprice > 200000").select(F.col("o_orderkey").alias("id"))), {"o_orderstatus": "F"})))(table(s, d, "orders"))
+)
+query("inverted_stats", "SELECT 'o_orderstatus' AS field, count(DISTINCT o_orderstatus) AS values, count(o_orderstatus) AS entries FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(o_orderpriority) FROM orders")(
+    lambda s, d: indexing.index_stats(indexing.inverted(table(s, d, "orders"), "o_orderkey", "o_orderstatus", "o_orderpriority"))
+)
+query("bloom_rate", "SELECT 0::BIGINT AS missed, true AS few_false FROM (SELECT 1)")(
+    lambda s, d: (lambda o, l: indexing.may_contain(l, "l_orderkey", indexing.bloom(o, "o_orderkey")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("own")), "l_orderkey", "left").agg(
+        (l.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(F.count(F.lit(1))).scalar() - F.count("own")).alias("missed"), ((F.count(F.lit(1)) - F.count("own")) * 100 <= l.agg(F.count(F.lit(1))).scalar()).alias("few_false")
+    ))(table(s, d, "orders").where("o_totalprice > 300000").select("o_orderkey"), table(s, d, "lineitem").select("l_orderkey"))
+)
+query("text_hashes", """WITH b AS (SELECT p_partkey, p_name, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))::UHUGEINT) AS c FROM part),
+h AS (SELECT *, list_reduce(c, lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS f FROM b)
+SELECT p_partkey, sha256(p_name || '|' || p_partkey::VARCHAR) AS sha, (CASE WHEN f >= 9223372036854775808::UHUGEINT THEN f::HUGEINT - 18446744073709551616::HUGEINT ELSE f::HUGEINT END)::BIGINT AS fnv FROM h""")(
+    lambda s, d: table(s, d, "part").select("p_partkey", T.digest(F.col("p_name"), F.col("p_partkey")).alias("sha"), T.fnv1a(F.col("p_name")).alias("fnv"))
+)
+query("text_clean", "SELECT doc_id, length(trim(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), ' ')) AS n FROM documents WHERE text IS NOT NULL")(lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.length(T.clean(F.col("text"))).cast("bigint").alias("n")))
 query("bitmap_and", "SELECT event_id AS id FROM events WHERE event_type = 'click' AND user_id < 50")(lambda s, d: (lambda e: indexing.ids(indexing.intersection(indexing.bitmap(e.where("event_type = 'click'"), "event_id"), indexing.bitmap(e.where("user_id < 50"), "event_id"))))(table(s, d, "events")))
 query("bitmap_or_count", "SELECT count(*) AS n FROM events WHERE event_type = 'click' OR user_id < 50")(lambda s, d: (lambda e: indexing.count(indexing.union(indexing.bitmap(e.where("event_type = 'click'"), "event_id"), indexing.bitmap(e.where("user_id < 50"), "event_id"))))(table(s, d, "events")))
 query("inverted_lookup", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")(lambda s, d: indexing.ids(indexing.lookup(indexing.inverted(table(s, d, "orders"), "o_orderkey", "o_orderstatus", "o_orderpriority"), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})))

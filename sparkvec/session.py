@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local["):
             raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"sparkvec-checkpoint-{os.getpid()}")
+        own = os.path.join(tempfile.gettempdir(), f"sparkvec-checkpoint-{os.getpid()}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
     sc.setCheckpointDir(folder)
     return folder
 
@@ -52,6 +58,32 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_shared: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder; it is removed when the process ends, if it still can be."""
+    at = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _shared:
+        atexit.register(_remove)
+    _shared.append((spark, at))
+    return at
+
+
+def _remove() -> None:
+    for spark, at in _shared:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: smaller than a checkpoint, and only the columns asked for are read."""
+    at = scratch(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 

@@ -1,12 +1,11 @@
 """Streams: micro-batched ingest with acknowledgements, deduplication, last writer wins, windows, replay.
 
-State is bounded by watermarks. Batches are written through ``foreachBatch`` with their number, and a number that was written before is
-skipped, so a restart from the checkpoint writes nothing twice.
+State is bounded by watermarks. Batches are written through ``foreachBatch``; the store makes a batch and its number visible by one rename, and
+skips a number that it has, so neither a crash between two writes nor a restart from the checkpoint writes anything twice.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from sparkvec.operators.text_search import TextIndex, documents
 from sparkvec.sources.store import Store
 
 
@@ -24,28 +24,17 @@ def files(spark: SparkSession, folder: str, schema: StructType, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def into(stream: DataFrame, store: Store, path: str, checkpoint: str, ack: Callable[[dict], None] | None = None, min_rows: int = 0) -> StreamingQuery:
-    """Append every micro-batch to a dataset; ``ack`` gets ``{status, batch_id, rows}``.
+def into(stream: DataFrame, store: Store, path: str, checkpoint: str, ack: Callable[[dict], None] | None = None, min_rows: int = 0, name: str = "stream") -> StreamingQuery:
+    """Append every micro-batch to a dataset, each once for a stream's ``name``; ``ack`` gets ``{status, batch_id, rows}``.
 
     Batches of fewer than ``min_rows`` rows are written to one file.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        at = store._folder(path, must=False)
-        done = f"{at}/batches/{batch_id}"
-        if store._exists(done):
-            rows = json.loads(store.spark.read.text(done).first()[0])["rows"]
-            status = "repeated"
-        else:
-            rows = batch.count()
-            if rows:
-                store.insert(path, batch.coalesce(1) if rows < min_rows else batch)
-            out = store._fs.create(store._path(done), True)
-            out.write(bytearray(json.dumps({"rows": rows}), "utf-8"))
-            out.close()
-            status = "ok"
+        rows = batch.count()
+        done = store.insert(path, batch.coalesce(1) if rows < min_rows else batch, name, batch_id)
         if ack:
-            ack({"status": status, "batch_id": batch_id, "rows": rows})
+            ack({"status": done["status"], "batch_id": batch_id, "rows": rows})
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -74,8 +63,8 @@ def sessions(stream: DataFrame, ts: str, by: str, gap: str = "30 minutes", late:
     return g.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def latest(stream: DataFrame, key: str, ts: str, value: str, late: str = "1 hour") -> DataFrame:
-    """Last writer wins over a stream: ``(key, ts, value)`` whenever a key gets a newer row; state ends with the watermark."""
+def latest(stream: DataFrame, key: str, ts: str, value: str, late: str = "1 hour", keep_seconds: int = 3600) -> DataFrame:
+    """Last writer wins over a stream: ``(key, ts, value)`` whenever a key gets a newer row; a key's state ends ``keep_seconds`` behind the watermark."""
     kinds = dict(stream.dtypes)
     out = f"{key} {kinds[key]}, {ts} timestamp, {value} {kinds[value]}"
 
@@ -93,7 +82,7 @@ def latest(stream: DataFrame, key: str, ts: str, value: str, late: str = "1 hour
         if best > known:
             state.update((best,))
             yield pd.DataFrame({key: [k[0]], ts: pd.to_datetime([best], unit="us"), value: [val]})
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, best // 1000 + 3_600_000))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, best // 1000 + keep_seconds * 1000))
 
     return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(update, out, "seen bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
@@ -105,10 +94,16 @@ def term_counts(stream: DataFrame, text: str) -> DataFrame:
     return stream.select(F.explode(tokenize(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def indexed(stream: DataFrame, index: TextIndex, id_col: str, text_cols: list[str], checkpoint: str) -> StreamingQuery:
+    """Add every micro-batch's texts to a keyword index: postings, lengths and document counts."""
+    return stream.writeStream.foreachBatch(lambda batch, _: index.add(documents(batch, id_col, *text_cols))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def replay(store: Store, source: str, target: str, after: int = 0) -> int:
-    """Apply the batches of one dataset with a sequence number above ``after`` to another; the last number applied."""
+    """Apply the batches of one dataset with a sequence number above ``after`` to another, once; the last number applied."""
+    after = max(after, store.applied(target, source) or 0)
     rows = store.changes(source, after)
     last = rows.agg(F.max("_seq")).first()[0]
     if last is not None:
-        store.insert(target, rows.drop("_seq"))
+        store.insert(target, rows.where(F.col("_seq") <= last).drop("_seq"), source, last)
     return last or after

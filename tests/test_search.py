@@ -60,7 +60,7 @@ def test_ties_nulls_dimensions_and_empty(spark):
 
 
 def test_string_ids_and_blocks(spark, vectors, queries, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK", 2)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 2 * 8 * 4)
     named = vectors.withColumn("id", F.concat(F.lit("v"), "id"))
     got = knn.batch(queries, named, 1).collect()
     assert {(r["query_id"], r["id"]) for r in got} == {(i, f"v{i}") for i in range(0, 500, 100)}

@@ -116,3 +116,53 @@ def test_frames(spark):
     df = frame(spark, pd.DataFrame({"id": [1], "vector": [[1 + 2j, 3]], "tags": [["a", "b"]], "m": [{"k": 1}]}))
     r = df.first()
     assert r["vector"] == [1.0, 2.0, 3.0, 0.0] and r["tags"] == '["a", "b"]' and r["m"] == '{"k": 1}'
+
+
+def test_a_crash_between_rows_and_commit_leaves_nothing(spark, root, monkeypatch):
+    s = Store(spark, root)
+    first, second = (spark.createDataFrame([(i, float(i))], "id bigint, x double") for i in (1, 2))
+    s.insert("d", first, "feed", 0)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    for step in (lambda: s.insert("d", second, "feed", 1), lambda: s.compact("d")):
+        monkeypatch.setattr(Store, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            step()
+        monkeypatch.undo()
+        assert ids(s.scan("d")) == [1] and s.applied("d", "feed") == 0
+    assert s.insert("d", second, "feed", 1)["status"] == "ok"
+    assert s.insert("d", second, "feed", 1)["status"] == "repeated"
+    assert sorted(ids(s.scan("d"))) == [1, 2]
+    s.delete("d", spark.createDataFrame([(1,)], "id bigint"))
+    s.compact("d")
+    assert ids(s.scan("d")) == [2] and [r["id"] for r in s.changes("d", 1).collect()] == [2] and s.changes("d", 2).count() == 0
+
+
+def test_a_snapshot_cut_short_does_not_count(spark, root, tmp_path, monkeypatch):
+    s, to = Store(spark, root), f"file://{tmp_path}/snap"
+    s.insert("d", spark.createDataFrame([(1,)], "id bigint"))
+    s.snapshot("d", to)
+    s.insert("d", spark.createDataFrame([(2,)], "id bigint"))
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(Store, "_write_text", dies)
+    with pytest.raises(RuntimeError):
+        s.snapshot("d", to)
+    monkeypatch.undo()
+    s.restore("e", to)
+    assert ids(s.scan("e")) == [1]
+    s.snapshot("d", to)
+    s.restore("e", to)
+    assert sorted(ids(s.scan("e"))) == [1, 2]
+    with pytest.raises(NotFound):
+        s.restore("e", f"file://{tmp_path}/nothing")
+
+
+def test_delete_tells_what_was_there(client):
+    assert client.delete("docs", [1, 2, 99]) == {"status": "ok", "deleted": 2, "unknown": 1}
+    assert client.delete("docs", [1]) == {"status": "ok", "deleted": 0, "unknown": 1}
+    assert client.count_datasets() == 1

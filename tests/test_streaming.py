@@ -57,3 +57,22 @@ def test_dedupe_latest_terms(spark, source):
     assert best == want
     t = {r["term"]: r["n"] for r in run(S.term_counts(S.files(spark, folder, df.schema), "text"), "complete", "t1", spark).collect()}
     assert t["more"] == 60 and t["word1"] == 15
+
+
+def test_a_crash_in_a_batch_writes_it_once(spark, source, tmp_path, root, monkeypatch):
+    folder, df = source
+    store, real, calls = Store(spark, root), Store._commit, []
+
+    def dies_once(self, at, meta):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        real(self, at, meta)
+
+    monkeypatch.setattr(Store, "_commit", dies_once)
+    q = S.into(S.files(spark, folder, df.schema), store, "d", f"{tmp_path}/cp")
+    with pytest.raises(Exception):
+        q.awaitTermination()
+    S.into(S.files(spark, folder, df.schema), store, "d", f"{tmp_path}/cp").awaitTermination()
+    assert store.scan("d").count() == 60
+    assert S.replay(store, "d", "copy") == 3 and S.replay(store, "d", "copy") == 3 and store.scan("copy").count() == 60
