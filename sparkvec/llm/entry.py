@@ -28,6 +28,7 @@ P1_SQL = USABLE_SQL + """, n AS (
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM n WHERE id IN (SELECT id FROM t) AND r <= 5
 """
 # a set stands apart if each of its n records has, after its n nearest (itself among them), a gap, and the same n nearest
+P1_IDS_SQL = USABLE_SQL + """SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank, b.id AS other_id FROM u a JOIN u b ON a.id <> b.id QUALIFY rank <= 10"""
 P4_SQL = USABLE_SQL + """, s AS (
   SELECT a.id, list_distance(a.v, b.v) AS d, row_number() OVER w AS n, lead(list_distance(a.v, b.v)) OVER w AS next,
     bit_xor(hash(b.id)) OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sig
@@ -109,6 +110,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: neighbors.tight_rings(table(s, d, "vectors")),
         "p1_neighbors": lambda s, d: neighbors.nearest_ids(table(s, d, "vectors"), 10),
+        "p1_neighbor_ids": lambda s, d: neighbors.nearest_ids(table(s, d, "vectors"), 10).drop("distance"),
         "p4_found": lambda s, d: clusters.found(table(s, d, "vectors")),
         "p4_regions": lambda s, d: clusters.regions(table(s, d, "vectors")),
         "p5_found": lambda s, d: distinctive.found(table(s, d, "documents")),
@@ -128,4 +130,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}
+    return {"p1_found": P1_SQL, "p1_neighbor_ids": P1_IDS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}
