@@ -51,7 +51,7 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     once = marked.where("not marked").select("id", pieces.alias("terms")).withColumn("doc_len", F.size("terms").cast("bigint"))
     several = marked.where("marked").select("id", "text").dropDuplicates(["id", "text"]).select("id", pieces.alias("terms"))
     lengths = several.groupBy("id").agg(F.sum(F.size("terms")).alias("doc_len"))
-    flat = once.unionByName(several.join(lengths, "id")).select(F.col("id").alias("doc_id"), "doc_len", F.explode("terms").alias("term"))
+    flat = once.unionByName(several.join(lengths, "id")).select(F.col("id").alias("doc_id"), "doc_len", F.explode_outer("terms").alias("term")).where("term is not null")  # an inner explode would split texts again, in filters inferred at the scans
     return flat.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
