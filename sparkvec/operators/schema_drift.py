@@ -105,19 +105,21 @@ def _turns(life: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(new), cut(gone)
 
 
-def _evidence(batch_rows: DataFrame, which: DataFrame, at: str) -> DataFrame:
-    """Distinct ``(dataset_name, v, name, rec, value)`` of the rows of version ``at`` under the names in ``which``."""
-    rows = _payload(batch_rows).withColumnRenamed("v", "row_v")
+def _evidence(batch_rows: DataFrame, which: DataFrame) -> DataFrame:
+    """Distinct ``(dataset_name, v, side, name, rec, value)`` of the rows of the versions ``row_v`` under the names in ``which``; the rows
+    are parsed once."""
+    rows = _payload(batch_rows).withColumnRenamed("v", "row_v").join(which.select("dataset_name", "row_v").distinct(), ["dataset_name", "row_v"], "left_semi")
     cells = rows.select("dataset_name", "row_v", canonical_value(F.col("m")["id"]).alias("rec"), F.explode("m").alias("name", "value")).where("rec is not null and value is not null and name <> 'id'")
-    want = which.withColumnRenamed(at, "row_v") if at == "prev_v" else which.withColumn("row_v", F.col("v"))
-    return cells.join(want.select("dataset_name", "row_v", "v", "name"), ["dataset_name", "row_v", "name"]).select("dataset_name", "v", "name", "rec", F.xxhash64(canonical_value(F.col("value"))).alias("value")).distinct()
+    return cut(cells.join(which, ["dataset_name", "row_v", "name"]).select("dataset_name", "v", "side", "name", "rec", F.xxhash64(canonical_value(F.col("value"))).alias("value")).distinct())
 
 
 def renames(new: DataFrame, gone: DataFrame, batch_rows: DataFrame, share: float = RENAME_SHARE) -> DataFrame:
     """``(dataset_name, v, old_name, name)`` of columns whose values live on under another name."""
     both = new.select("dataset_name", "v").distinct().join(gone.select("dataset_name", "v").distinct(), ["dataset_name", "v"])
-    x = _evidence(batch_rows, gone.join(both, ["dataset_name", "v"]), "prev_v").withColumnRenamed("name", "old_name")
-    y = _evidence(batch_rows, new.join(both, ["dataset_name", "v"]), "v")
+    sides = gone.select("dataset_name", "v", F.col("prev_v").alias("row_v"), "name", F.lit("old").alias("side")).unionByName(new.select("dataset_name", "v", F.col("v").alias("row_v"), "name", F.lit("new").alias("side")))
+    cells = _evidence(batch_rows, sides.join(both, ["dataset_name", "v"]))
+    x = cells.where("side = 'old'").drop("side").withColumnRenamed("name", "old_name")
+    y = cells.where("side = 'new'").drop("side")
     pair = ["dataset_name", "v", "old_name", "name"]
     equal = x.join(y, ["dataset_name", "v", "rec", "value"]).groupBy(*pair).agg(F.countDistinct("rec").alias("eq"))
     compared = x.drop("value").distinct().join(y.drop("value").distinct(), ["dataset_name", "v", "rec"]).groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))

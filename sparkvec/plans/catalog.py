@@ -98,6 +98,11 @@ UNION ALL SELECT ds, v, name, 'removed' FROM gone WHERE (ds, v, name) NOT IN (SE
 UNION ALL SELECT ds, v, name, 'retyped' FROM (SELECT *, lag(ty) OVER (PARTITION BY ds, name, life ORDER BY o) AS before FROM typed) WHERE before <> ty
 """
 
+P3_ROWS_SQL = P3_SQL.split("), versions AS (SELECT ds, v, row_number()")[0] + """), r AS (SELECT DISTINCT dataset_name AS ds, file_name, row_no, schema_version AS v, written_at, payload_json AS p FROM batch_rows WHERE payload_json IS NOT NULL AND json_valid(payload_json)
+), k AS (SELECT r.*, unnest(json_keys(p)) AS name FROM r)
+SELECT ds AS dataset_name, v AS schema_version, count(*) AS rows, sum(n)::BIGINT AS cells FROM (SELECT ds, v, file_name, row_no, written_at, p, count(f.name) AS n FROM k LEFT JOIN (SELECT DISTINCT ds, v, name FROM fields) f USING (ds, v, name) WHERE (ds, v) IN (SELECT (ds, v) FROM fields) GROUP BY ALL) GROUP BY ALL
+"""
+
 
 def _drift(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(s, d, "schema_versions"), table(s, d, "batch_rows")
@@ -110,6 +115,7 @@ query("p2_fields", P2_FIELDS_SQL)(
 )
 query("p3_found", P3_SQL)(lambda s, d: schema_drift.changes(*_drift(s, d)).drop("detail"))
 query("p3_unified")(lambda s, d: schema_drift.unified(*_drift(s, d)))
+query("p3_unified_rows", P3_ROWS_SQL)(lambda s, d: schema_drift.unified(*_drift(s, d)).groupBy("dataset_name", "schema_version").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("cells")).alias("cells")))
 query("p3_alternatives")(lambda s, d: schema_drift.alternatives(*_drift(s, d), table(s, d, "column_metadata")))
 
 

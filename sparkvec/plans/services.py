@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from sparkvec.api import Client
 from sparkvec.functions import vector as V
-from sparkvec.operators import hybrid, ivf, knn, text_search
+from sparkvec.operators import hybrid, ivf, knn, lifecycle, quantize, text_search
 from sparkvec.operators.filters import leaf
 from sparkvec.plans import catalog
 from sparkvec.plans.catalog import Query
+from sparkvec.plans.request import RequestError, parse_search
 from sparkvec.session import scratch, table
 from sparkvec.sources.store import Store
 from sparkvec.streaming import ingest
@@ -176,6 +177,39 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, score D
 query("pipeline_rerank", f"""{_legs_sql(20)}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM sp),
 g AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + r)) AS s FROM r GROUP BY ALL), k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) <= 10), f AS (SELECT query_id, id, (1000000 - id)::DOUBLE AS score FROM k) {CUT.format(t="f")}""")(lambda s, d: _mixed(s, d, rerank=lambda b: 1000000.0 - b["id"]))
 
+# ---------------------------------------------------------------- codebooks and checks of requests
+query("pq_saved_book", "SELECT vec_id AS id, true AS same FROM embeddings")(lambda s, d: _saved_book(s, d))
+query("request_checks", "SELECT * FROM (VALUES ('alpha above 1', false), ('an unknown key', false), ('k of 0', false), ('no question', false), ('not a number', false), ('plain', true), ('text only', true)) t(request, accepted)")(lambda s, d: _checks(s))
+query("quorum_sizes", "SELECT n_nationkey::INT AS n, n_nationkey // 2 + 1 AS majority, n_nationkey::INT AS whole FROM nation WHERE n_nationkey > 0")(
+    lambda s, d: s.createDataFrame([(n, lifecycle.quorum("quorum", n), lifecycle.quorum("all", n)) for (n,) in table(s, d, "nation").where("n_nationkey > 0").select("n_nationkey").collect()], "n int, majority int, whole int")
+)
+query("dimension_check", "SELECT vec_id FROM embeddings")(lambda s, d: knn.check_dimension(table(s, d, "embeddings"), "embedding", 64).select("vec_id"))
+
+
+def _saved_book(s: SparkSession, d: str) -> DataFrame:
+    e, at = catalog._emb(s, d), scratch(s, "book")
+    book = quantize.pq_train(e, "vector", 8, 16)
+    quantize.save_book(s, book, at)
+    both = quantize.pq_encode(quantize.pq_encode(e, "vector", book), "vector", quantize.load_book(s, at), "again")
+    return both.select("id", (F.col("code") == F.col("again")).alias("same"))
+
+
+def _checks(s: SparkSession) -> DataFrame:
+    asked = {
+        "alpha above 1": {"vector": [1.0], "alpha": 2}, "an unknown key": {"vector": [1.0], "nope": 1}, "k of 0": {"vector": [1.0], "k": 0}, "no question": {}, "not a number": {"vector": [float("nan")]},
+        "plain": {"vector": [1.0], "alpha": None, "k": 3}, "text only": {"text_query": "a", "alpha": -1},
+    }
+
+    def accepted(r: dict) -> bool:
+        try:
+            parse_search(r)
+        except RequestError:
+            return False
+        return True
+
+    return s.createDataFrame([(n, accepted(r)) for n, r in asked.items()], "request string, accepted boolean")
+
+
 # ---------------------------------------------------------------- approximate search by cells
 query("ivf_all_cells", catalog.knn_sql())(lambda s, d: (lambda e: catalog._rounded(ivf.search(s, ivf.build(e, scratch(s, "ivf"), 16), catalog._asked(e), 10, probes=16)))(catalog._emb(s, d)))
 query("ivf_recall", "SELECT vec_id AS query_id, true AS enough FROM embeddings WHERE vec_id % 100 = 0")(

@@ -74,3 +74,10 @@ def test_wide(spark):
     u = S.unified(*tables(spark, *renaming()))
     w = S.wide(u, "d", ["id", "new"]).collect()
     assert len(w) == 20 and all(r["new"] is not None for r in w)
+
+
+def test_a_name_whose_best_partner_is_taken_chooses_again(spark):
+    v = [("d", 1, "id: int64, a: int64, b: int64"), ("d", 2, "id: int64, x: int64, y: int64")]
+    y = lambda i: i if i % 20 else i + 1000
+    rows = [("d", 1, {"id": i, "a": i, "b": y(i) if i % 10 != 3 else i + 5000}) for i in range(100)] + [("d", 2, {"id": i, "x": i, "y": y(i)}) for i in range(100)]
+    assert changed(spark, v, rows) == {("d", 2, "x", "renamed"), ("d", 2, "y", "renamed")}
