@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 #: fixed value: what is cut off a term's ends
 PUNCTUATION = ".,!?;:()[]{}'\"><"
 
+#: Unicode white space, as a class of Java's regular expressions
+SPACE = r"[\s\x1c-\x1f\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 
 def tokenize(text: Column) -> Column:
     """Lower-cased pieces between white space, without punctuation at their ends; empty ones dropped. Null stays null."""
-    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda t: F.trim(t, F.lit(PUNCTUATION))), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.lower(text), SPACE), lambda t: F.trim(t, F.lit(PUNCTUATION))), lambda t: t != "")
 
 
 def document(*columns: Column) -> Column:
@@ -33,7 +36,7 @@ def namespace(path: Column) -> Column:
 
 def fields(text: Column) -> Column:
     """The number of pieces between white space."""
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""))
+    return F.size(F.filter(F.split(text, SPACE), lambda t: t != ""))
 
 
 def clean(text: Column, longest: int | None = None) -> Column:
