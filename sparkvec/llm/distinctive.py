@@ -22,20 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec.functions.text import tokenize
 from sparkvec.llm.vectors import marks
 from sparkvec.session import cut
 
-#: fixed value: what is cut off a term's ends
-PUNCTUATION = ".,!?;:()[]{}'\"><"
 HOT_TERMS = 10_000
-#: Unicode white space, as a class of Java's and RE2's regular expressions
-SPACE = r"[\s\x1c-\x1f\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-
-
-def terms(text: Column) -> Column:
-    """The lower-cased pieces between white space without punctuation at their ends; empty ones dropped."""
-    pieces = F.transform(F.split(F.lower(text), SPACE), lambda t: F.trim(t, F.lit(PUNCTUATION)))
-    return F.filter(pieces, lambda t: t != "")
 
 
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +38,7 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = marks(rows, repeated)
-    pieces = terms(F.col("text"))
+    pieces = tokenize(F.col("text"))
     once = marked.where("not marked").select("id", pieces.alias("terms")).withColumn("doc_len", F.size("terms").cast("bigint"))
     several = marked.where("marked").select("id", "text").dropDuplicates(["id", "text"]).select("id", pieces.alias("terms"))
     lengths = several.groupBy("id").agg(F.sum(F.size("terms")).alias("doc_len"))

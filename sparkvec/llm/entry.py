@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkvec.functions.text import PUNCTUATION
 from sparkvec.llm import clusters, distinctive, fusion, language, mixing, neighbors, packing
-from sparkvec.llm.distinctive import PUNCTUATION
 from sparkvec.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,7 @@ P4_SQL = USABLE_SQL + """, s AS (
 ), kept AS (SELECT n, sig FROM m GROUP BY ALL HAVING max(n - least) = 0)
 SELECT id AS id_a, lead(id) OVER (PARTITION BY n, sig ORDER BY id) AS id_b FROM m JOIN kept USING (n, sig) QUALIFY id_b IS NOT NULL
 """
+P4_SIZES_SQL = P4_SQL.split("\nSELECT id AS id_a")[0] + "\nSELECT n AS size, count(*) AS regions FROM kept GROUP BY n"
 
 COUNTS_SQL = f"""
 WITH words AS (
@@ -113,6 +114,7 @@ def queries() -> dict[str, Query]:
         "p1_neighbor_ids": lambda s, d: neighbors.nearest_ids(table(s, d, "vectors"), 10).drop("distance"),
         "p4_found": lambda s, d: clusters.found(table(s, d, "vectors")),
         "p4_regions": lambda s, d: clusters.regions(table(s, d, "vectors")),
+        "p4_sizes": lambda s, d: clusters.regions(table(s, d, "vectors")).where("isolated").groupBy("size").agg(F.count(F.lit(1)).alias("regions")),
         "p5_found": lambda s, d: distinctive.found(table(s, d, "documents")),
         "p5_top_terms": lambda s, d: distinctive.top_terms(table(s, d, "documents"), 10).withColumn("score", F.round("score", 6)),
         "p6_found": lambda s, d: fusion.found(table(s, d, "search_requests"), table(s, d, "search_results")),
@@ -130,4 +132,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p1_neighbor_ids": P1_IDS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}
+    return {"p1_found": P1_SQL, "p1_neighbor_ids": P1_IDS_SQL, "p4_found": P4_SQL, "p4_sizes": P4_SIZES_SQL, "p5_found": P5_SQL, "p5_top_terms": P5_TOP_SQL, "p6_found": P6_SQL, "p6_ranking": P6_FUSED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}
