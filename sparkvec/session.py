@@ -58,23 +58,23 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-_shared: list[tuple[SparkSession, str]] = []
+_shared: list[tuple[object, object]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder; it is removed when the process ends, if it still can be."""
     at = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     if not _shared:
         atexit.register(_remove)
-    _shared.append((spark, at))
+    _shared.append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
     return at
 
 
 def _remove() -> None:
-    for spark, at in _shared:
+    for fs, path in _shared:
         with contextlib.suppress(Exception):  # the JVM may be gone
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs.delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
