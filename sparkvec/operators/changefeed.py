@@ -30,9 +30,15 @@ BLOCK = 65536
 
 
 def json_or_null(text: Column) -> Column:
-    """The text as a variant; null where it is null, no valid JSON, or the JSON literal null."""
-    v = F.try_parse_json(text)
-    return F.when(~F.is_variant_null(v), v)
+    """The text as a variant; null where it is null, no valid JSON, or the JSON literal null.
+
+    The parser ignores what follows a value (``12 "a"`` would pass as 12), so the text is parsed as the only element of an array, and
+    where a bracket inside it might have ended that array, as the only value of an object too.
+    """
+    one = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    whole = F.when(text.rlike(r"\]\s*[^\s\]}]"), F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()).otherwise(F.lit(True))
+    v = F.try_variant_get(one, "$[0]", "variant")
+    return F.when((F.size(one.try_cast("array<variant>")) == 1) & whole & ~F.is_variant_null(v), v)
 
 
 def integer_id(value: Column) -> Column:

@@ -91,3 +91,13 @@ def test_empty_and_long(spark):
     assert C.current_records(feed(spark, [])).count() == 0
     long = json.dumps({"id": 1, "t": "x" * 500_000})
     assert C.apply_changes(feed(spark, [(1, "d", 1, 1, "put", long)])).count() == 1
+
+
+def test_text_after_a_value_is_no_json(spark):
+    good = ['{"id": 1}', ' {"id": 1, "a": [1, [2]], "b": "x] ["} ', '{"id": 1, "a": [] }', '[{"id": 1}]', "7", '"x"']
+    bad = ['12 65.4, "a": 1', '{"id": 1} x', '{"id": 1}, {"id": 2}', '{"id": 1}] , [2', '{"id": 1}}, {"b": 2', "", " ", "null", "{", '{"id": 1', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i int, t string")
+    got = {r["i"] for r in df.where(C.json_or_null(df["t"]).isNotNull()).collect()}
+    assert got == set(range(len(good)))
+    rows = [(1, "d", 1, 5, "insert", '{"id": 1}'), (2, "d", 1, 9, "insert", '99 "rev": 1'), (1, "d", 2, 6, "update", '{"id": 1, "x": 2}')]
+    assert [tuple(r) for r in C.apply_changes(feed(spark, rows)).collect()] == [("d", 1, 2)]
