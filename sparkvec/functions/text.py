@@ -19,6 +19,12 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), SPACE), lambda t: F.trim(t, F.lit(PUNCTUATION))), lambda t: t != "")
 
 
+def has_terms(text: Column) -> Column:
+    """Whether a text has a term: a character that is neither white space nor cut off; found without splitting it."""
+    cut = "".join("\\" + c for c in PUNCTUATION)
+    return text.rlike("[^" + SPACE[1:-2] + cut + "]")
+
+
 def document(*columns: Column) -> Column:
     """One text of several columns, joined by blanks; nulls are skipped."""
     return F.concat_ws(" ", *columns)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sparkvec.functions.text import document, tokenize
+from sparkvec.functions.text import document, has_terms, tokenize
 from sparkvec.operators import knn
 
 #: fixed values of BM25
@@ -35,8 +35,9 @@ Statistics = tuple[int, float, dict[str, int]]
 
 def documents(df: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
     """``(id, terms, len)`` of every document with at least one term."""
-    rows = df.select(F.col(id_col).alias("id"), tokenize(document(*[F.col(c) for c in text_cols])).alias("terms"))
-    return rows.withColumn("len", F.size("terms").cast("bigint")).where("len > 0")
+    text = document(*[F.col(c) for c in text_cols])
+    rows = df.where(has_terms(text)).select(F.col(id_col).alias("id"), tokenize(text).alias("terms"))  # a filter by the length would split texts again
+    return rows.withColumn("len", F.size("terms").cast("bigint"))
 
 
 def query_terms(queries: DataFrame, distinct: bool = True) -> DataFrame:
@@ -55,20 +56,24 @@ def totals(docs: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame, terms: list[str]) -> Statistics:
     """(documents, mean length, documents of each of the terms)."""
-    t = totals(docs).first()
-    known = set(terms)
-    names = pa.array(sorted(known), pa.string())
+    names = pa.array(sorted(set(terms)), pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(names), np.int64)
+        n, docs_, length = np.zeros(len(names), np.int64), 0, 0
         for b in batches:
             _, term, _ = counted(b.column("terms"), names)
             n += np.bincount(term, minlength=len(names))
+            docs_ += b.num_rows
+            length += pc.sum(b.column("len")).as_py() or 0
         at = np.flatnonzero(n)
-        yield pa.record_batch({"term": names.take(pa.array(at)), "n": pa.array(n[at])})
-
-    df = docs.select("terms").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the block's terms
-    return t["n"], t["avgdl"] or 0.0, {r["term"]: r["n"] for r in df}
+        # numbers below 0 are the totals
+        yield pa.record_batch({"term": pa.array(np.concatenate([[-1, -2], at]).astype(np.int64)), "n": pa.array(np.concatenate([[docs_, length], n[at]]).astype(np.int64))})
+
+    rows = docs.select("terms", "len").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the block's terms
+    got = {r["term"]: r["n"] for r in rows}
+    n = got.pop(-1, 0)
+    length = got.pop(-2, 0)
+    return n, length / n if n else 0.0, {names[i].as_py(): m for i, m in got.items()}
 
 
 def counted(terms: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
