@@ -162,3 +162,27 @@ def test_recall_in_a_dense_cloud(spark):
         d[i] = np.inf
         hit += len(set(np.argpartition(d, 10)[:10].tolist()) & set(own))
     assert len(got) == 600 and hit / 6000 >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 95, 96, 97, 113, 1000, 1537])
+@pytest.mark.parametrize("exact", [False, True])
+def test_nearest_of_any_number_of_rows(n, exact):
+    x = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
+    pos, dist = N.nearest(x, np.arange(n), 6, exact)
+    d = np.sqrt(((x[:, None, :].astype(float) - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    k = min(6, n - 1)
+    assert pos.shape == dist.shape == (n, k)
+    assert np.abs(np.sort(dist, 1) - np.sort(d, 1)[:, :k]).max(initial=0) < 1e-3
+    assert all(len(set(p)) == k and i not in p for i, p in enumerate(pos.tolist()))
+
+
+def test_usable_vectors_are_told_by_compiled_code(spark):
+    from pyspark.sql import functions as F
+
+    # p1_found and p4_found: a lambda ran for every number of every vector
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), None]), (5, [1.0, float("-inf")]), (6, None), (7, [1.0]), (8, [None, None])], "id bigint, vector array<float>")
+    usable = rows.where(V.is_usable(F.col("vector"), 2))
+    assert [r["id"] for r in usable.collect()] == [1]
+    assert [r["id"] for r in rows.withColumn("vector", F.col("vector").cast("array<double>")).where(V.is_usable(F.col("vector"), 2)).collect()] == [1]
+    assert "lambda" not in usable._jdf.queryExecution().executedPlan().toString()
